@@ -44,16 +44,16 @@ digits as (select frame_id, model, p, exif, p.own own from parsed),
 walls as (
   select frame_id, model,
     epoch_us(try_cast(p.y || '-' || p.m || '-' || p.d || ' ' || p.t as timestamp))
-      + cast(rpad(substr({_DIGITS}, 1, 6), 6, '0') as bigint) at
+      + cast(rpad(substr({_DIGITS}, 1, 6), 6, '0') as bigint) wall
   from digits where p.y <> '' and p.y not in ('0000', '0001')),
 gaps as (
-  select model, at, case when at - lag(at) over (partition by model order by at, frame_id) <= 1200000000 then 0 else 1 end opens, frame_id
-  from walls where model is not null and at is not null),
-runs as (select model, at, sum(opens) over (partition by model order by at, frame_id rows unbounded preceding) run from gaps)
-select model, min(at) start_us, max(at) end_us, %s count(*) n_frames from runs group by model, run
+  select model, wall, case when wall - lag(wall) over (partition by model order by wall, frame_id) <= 1200000000 then 0 else 1 end opens, frame_id
+  from walls where model is not null and wall is not null),
+runs as (select model, wall, sum(opens) over (partition by model order by wall, frame_id rows unbounded preceding) run from gaps)
+select model, min(wall) start_us, max(wall) end_us, %s count(*) n_frames from runs group by model, run
 """
 
 SQL = {
     "p5_found": _SESSIONS % "",
-    "p5_sessions": _SESSIONS % "max(at) - min(at) duration_us,",
+    "p5_sessions": _SESSIONS % "max(wall) - min(wall) duration_us,",
 }
