@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fotarium.llm.forest import HashForest, records
 from fotarium.llm.sql import SQL  # noqa: F401
 from fotarium.llm.terms import keyword_terms
 from fotarium.llm.tokens import token_ids
@@ -19,8 +20,13 @@ def p1_terms(spark: SparkSession, base: str) -> DataFrame:
     return keyword_terms(table(spark, base, "frames"))
 
 
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    forest = HashForest.of(records(table(spark, base, "manifest"), "entry_id", file_digest=True))
+    return forest.admit(records(table(spark, base, "card_files"), "file_id", file_digest=False))[0]
+
+
 def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     return token_ids(table(spark, base, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p6_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p6_ids)}
