@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,8 +29,26 @@ def get_session(app: str = "fotarium", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that their Python workers can
+    import it wherever they start."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parent
+        path = Path(tempfile.mkdtemp(prefix="fotarium-code-")) / "fotarium.zip"
+        with zipfile.ZipFile(path, "w") as out:
+            for source in sorted(root.rglob("*.py")):
+                out.write(source, source.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(path))
+        _shipped.add(app)
+
+
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """One parquet table of a data folder; a file or a folder of files."""
+    ship(spark)
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
