@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fotarium.llm.forest import HashForest, records
+from fotarium.llm.packing import fill, pack_texts
 from fotarium.llm.sql import SQL  # noqa: F401
 from fotarium.llm.terms import keyword_terms
 from fotarium.llm.tokens import token_ids
@@ -29,4 +30,12 @@ def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     return token_ids(table(spark, base, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p6_ids)}
+def p7_packs(spark: SparkSession, base: str) -> DataFrame:
+    return pack_texts(table(spark, base, "documents"), table(spark, base, "pack_sizes"))
+
+
+def p7_fill(spark: SparkSession, base: str) -> DataFrame:
+    return fill(p7_packs(spark, base), table(spark, base, "pack_sizes"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p6_ids, p7_packs, p7_fill)}
