@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fotarium.llm.forest import HashForest, records
 from fotarium.llm.packing import fill, pack_texts
+from fotarium.llm.sentences import sentences
 from fotarium.llm.sql import SQL  # noqa: F401
 from fotarium.llm.terms import keyword_terms
 from fotarium.llm.tokens import token_ids
@@ -38,4 +39,8 @@ def p7_fill(spark: SparkSession, base: str) -> DataFrame:
     return fill(p7_packs(spark, base), table(spark, base, "pack_sizes"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p6_ids, p7_packs, p7_fill)}
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    return sentences(table(spark, base, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p6_ids, p7_packs, p7_fill, p8_found)}
