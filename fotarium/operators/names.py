@@ -1,0 +1,46 @@
+"""Plans of new names and what stands in their way."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from fotarium.operators.ranges import with_rank
+
+
+def numbered(frames: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """Add `n`, the number of each frame of its group in the order given, from 1."""
+    return with_rank(frames, order, "numbers", "n", [group]).withColumn("n", F.col("n") + 1)
+
+
+def collisions(plan: DataFrame, group: str, new_name: str) -> DataFrame:
+    """(group, name, n): new names that several frames of a group would take, case aside."""
+    return plan.groupBy(group, F.lower(new_name).alias("name")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def ghosts(manifest: DataFrame, present: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Names in the manifest whose frame is gone; they stay taken."""
+    return manifest.select(*keys, name).distinct().join(present.select(*keys).distinct(), keys, "left_anti")
+
+
+def dotted_prefixes(name: Column) -> Column:
+    """Every prefix of a lower-case name that ends before a dot: `a.b.c` has `a` and `a.b`."""
+    parts = F.split(F.lower(name), r"\.")
+    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "."))).otherwise(F.array().cast("array<string>"))
+
+
+def stem_conflicts(stems: DataFrame, files: DataFrame, group: str, stem: str, name: str) -> DataFrame:
+    """(group, stem, name): files of the group whose name begins with a stem and a dot. A file's possible
+    stems are expanded, so it is an equi join and not a comparison of all pairs."""
+    heads = files.select(group, F.col(name).alias("name"), F.explode(dotted_prefixes(F.col(name))).alias("stem"))
+    return stems.select(group, F.lower(stem).alias("stem")).distinct().join(heads, [group, "stem"])
+
+
+def name_problem(name: Column) -> Column:
+    """Why a file name can't be used: `long` (over 255 bytes), `characters` (/, : or NUL), `hidden`; else null."""
+    return F.when(F.octet_length(name) > 255, "long").when(F.regexp_like(name, F.lit("[/:\\x00]")), "characters").when(F.startswith(name, F.lit(".")), "hidden")
+
+
+def rewrite_paths(path: Column, old: str, new: str) -> Column:
+    """A path with its folder `old` (or itself, if it is `old`) put under `new`."""
+    return F.when(path == old, F.lit(new)).when(F.startswith(path, F.lit(old + "/")), F.concat(F.lit(new), F.substring(path, len(old) + 1, 1_000_000))).otherwise(path)

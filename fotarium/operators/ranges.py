@@ -6,7 +6,7 @@ only one bounded record per partition from each to the next."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -69,26 +69,28 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], carry: dict[
     return out.drop("_fp_part", "_fp_n", "_fp_p", "_fp_before", *[f"_fp_k{i}" for i in range(len(keys))])
 
 
-def with_rank(df: DataFrame, order: list[str], label: str, rank_col: str = "rank0", within: list[str] | None = None) -> DataFrame:
-    """Add the 0-based position of each row in the total order `within + order`, counted from the
-    start of its `within` group (of the table when none are given).
-
-    The driver only sees one row count per range partition and the group bounds are aggregated,
-    so no group is gathered in one task. The sorted table has the column `_fp_part` for a while."""
-    within = within or []
-    sorted_rows = range_table(df, [*within, *order], label, part_col="_fp_part")
-    counts = sorted_rows.groupBy("_fp_part", *within).agg(F.count(F.lit(1)).alias("_fp_c"))
-    before = F.sum("_fp_c").over(Window.partitionBy(*within).orderBy("_fp_part").rowsBetween(Window.unboundedPreceding, -1)) if within else F.sum("_fp_c").over(Window.orderBy("_fp_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.withColumn("_fp_off", F.coalesce(before, F.lit(0)))
-    offsets = offsets.select(F.col("_fp_part").alias("_fp_p"), *[F.col(k).alias(f"_fp_k{i}") for i, k in enumerate(within)], "_fp_off")
-    inside = Window.partitionBy("_fp_part", *within).orderBy(*order)
+def with_running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, label: str) -> DataFrame:
+    """Add the sum of column `value` from the start of each `keys` group up to the row itself, by `order`.
+
+    Inside a range partition a window sums; each (partition, key) then adds the totals of the key's
+    earlier partitions, so no group is gathered in one task. Columns beginning with `_fp_` are reserved."""
+    sorted_rows = range_table(df, [*keys, *order], label, part_col="_fp_part")
+    totals = sorted_rows.groupBy("_fp_part", *keys).agg(F.sum(value).alias("_fp_c"))
+    before = Window.partitionBy(*keys).orderBy("_fp_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("_fp_off", F.coalesce(F.sum("_fp_c").over(before), F.lit(0)))
+    offsets = offsets.select(F.col("_fp_part").alias("_fp_p"), *[F.col(k).alias(f"_fp_k{i}") for i, k in enumerate(keys)], "_fp_off")
+    inside = Window.partitionBy("_fp_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     on = F.col("_fp_part") == F.col("_fp_p")
-    for i, k in enumerate(within):
+    for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"_fp_k{i}"))
-    out = sorted_rows.withColumn(rank_col, F.row_number().over(inside) - 1).join(offsets, on, "left")
-    out = out.withColumn(rank_col, (F.col(rank_col) + F.col("_fp_off")).cast(T.LongType()))
-    return out.drop("_fp_part", "_fp_p", "_fp_off", *[f"_fp_k{i}" for i in range(len(within))])
+    summed = sorted_rows.withColumn(out, F.sum(value).over(inside)).join(offsets, on, "left")
+    return summed.withColumn(out, (F.col(out) + F.col("_fp_off")).cast(T.LongType())).drop("_fp_part", "_fp_p", "_fp_off", *[f"_fp_k{i}" for i in range(len(keys))])
 
 
-def hash_id(*cols: Column) -> Column:
-    return F.xxhash64(*cols)
+def with_rank(df: DataFrame, order: list[str], label: str, rank_col: str = "rank0", within: list[str] | None = None) -> DataFrame:
+    """Add the 0-based position of each row in the total order `within + order`, counted from the
+    start of its `within` group (of the table when none are given)."""
+    keys = within or ["_fp_all"]
+    rows = df if within else df.withColumn("_fp_all", F.lit(0))
+    ranked = with_running_sum(rows.withColumn("_fp_one", F.lit(1)), keys, order, "_fp_one", rank_col, label)
+    return ranked.withColumn(rank_col, F.col(rank_col) - 1).drop("_fp_one", "_fp_all")
