@@ -440,7 +440,7 @@ def _ends(text: str, stop: Stop, opened: int, model: Model) -> bool:
         if following in OPEN and following not in "»’" or (following == '"' and stop.gap):
             return True
         if case == "L":
-            return model.has("own", word) and (stop.kind == "bracket" or model.value("own", word) >= 0.5)
+            return model.has("own", word) and (stop.kind == "bracket" or model.value("own", word) >= 0.1)
         if case == "U":
             return not ("—" in stop.mark or "–" in stop.mark) or _starts(model, word)
         if case == "D":
@@ -455,7 +455,7 @@ def _ends(text: str, stop: Stop, opened: int, model: Model) -> bool:
             return False
         return True
     if stop.kind == "dots":
-        lower = case == "L" and not (set(stop.mark) & BRACKETS and model.value("own", word) >= 0.5)
+        lower = case == "L" and not (set(stop.mark) & BRACKETS and model.value("own", word) >= 0.1)
         return not lower and (bool(stop.gap) or case != "D" or latest == "…")
     left = stop.left
     kind = kind_of(left)
@@ -498,7 +498,7 @@ def _ends(text: str, stop: Stop, opened: int, model: Model) -> bool:
         if number or file or short:
             return model.has("own", word) and model.value("own", word) >= 0.2 and not model.pair(kind, word)
         if model.type("low", kind):
-            return model.value("own", word) >= 0.5 and not model.pair(kind, word)
+            return model.value("own", word) >= 0.1 and not model.pair(kind, word)
         return model.has("own", word) or model.value("start", word) > 0
     if case == "D":
         if number:
