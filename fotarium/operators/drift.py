@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from fotarium.functions import jsonfields as J
 from fotarium.operators.ranges import with_previous
-from fotarium.session import materialize
+from fotarium.session import materialize, only
 
 PROFILE = "report_id bigint, dir string, generated_at timestamp_ntz, types array<struct<path:string,type:string>>, sketches array<struct<path:string,holders:array<bigint>,hashes:array<bigint>>>"
 PAIR = "report_id bigint, before_id bigint, side int, path string, type string, change string, field_before string, field_after string"
@@ -48,7 +48,7 @@ def profiles(reports: DataFrame) -> DataFrame:
                     rows.append({**r, "types": [{"path": f["path"], "type": f["type"]} for f in fields], "sketches": fields})
             yield _emit(schema, rows)
 
-    known = reports.filter(F.col("report_id").isNotNull()).select("report_id", "dir", F.col("generated_at").cast("timestamp_ntz"), "raw")
+    known = only(reports, "report_id", "dir", "generated_at", "raw").filter(F.col("report_id").isNotNull()).select("report_id", "dir", F.col("generated_at").cast("timestamp_ntz"), "raw")
     found = known.mapInArrow(run, PROFILE)
     same = [c for c in found.columns if c != "report_id"]
     return found.groupBy("report_id").agg(F.first(F.struct(*same)).alias("r")).select("report_id", "r.*")
@@ -136,7 +136,7 @@ def field_values(reports: DataFrame) -> DataFrame:
                     rows = []
             yield _emit(schema, rows)
 
-    known = reports.filter(F.col("report_id").isNotNull()).dropDuplicates(["report_id"])
+    known = only(reports, "report_id", "dir", "generated_at", "raw").filter(F.col("report_id").isNotNull()).dropDuplicates(["report_id"])
     return known.select("report_id", "dir", F.col("generated_at").cast("timestamp_ntz"), "raw").mapInArrow(run, VALUES)
 
 

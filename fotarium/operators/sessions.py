@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from fotarium.functions.times import normalise_times
 from fotarium.operators.ranges import range_table
+from fotarium.session import only
 
 GAP_US = 1_200_000_000
 
@@ -30,7 +31,7 @@ def merge_sessions(events: DataFrame, key: str, at_us: str, gap_us: int = GAP_US
     partition. What is left are partial sessions; those that lie wholly inside a partition are
     final, and only the first and the last of each partition (two rows a partition) can touch
     a neighbour and go through the last merge."""
-    points = events.select(F.col(key).alias("key"), F.col(at_us).cast("bigint").alias("at")).filter(F.col("key").isNotNull() & F.col("at").isNotNull())
+    points = only(events, key, at_us).select(F.col(key).alias("key"), F.col(at_us).cast("bigint").alias("at")).filter(F.col("key").isNotNull() & F.col("at").isNotNull())
     points = points.groupBy("key", "at").agg(F.count(F.lit(1)).alias("n"))
     rows = range_table(points, ["key", "at"], label)
     inside = Window.partitionBy("_part", "key").orderBy("at")
@@ -56,7 +57,7 @@ def shooting_sessions(frames: DataFrame, gap_us: int = GAP_US) -> DataFrame:
     A frame counts once however often it was delivered, at its wall-clock time as written (see
     normalise_times). Frames without a model, without an id or with an invalid time count nowhere.
     If deliveries of a frame differ, the last loaded one holds (then the greatest values)."""
-    timed = frames.select("frame_id", "loaded_at", F.col("exif.model").alias("model"), F.col("exif.date_time_original").alias("value"), F.col("exif.subsec").alias("fraction"))
+    timed = only(frames, "frame_id", "loaded_at", "exif").select("frame_id", "loaded_at", F.col("exif.model").alias("model"), F.col("exif.date_time_original").alias("value"), F.col("exif.subsec").alias("fraction"))
     timed = normalise_times(timed, "value", "_instant", fraction="fraction", wall="at")
     timed = timed.select("frame_id", "loaded_at", model_key(F.col("model")).alias("model"), "at").filter(F.col("frame_id").isNotNull())
     once = timed.groupBy("frame_id").agg(F.max(F.struct("loaded_at", "model", "at")).alias("r")).select("r.model", "r.at")

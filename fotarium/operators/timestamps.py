@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fotarium.functions.times import normalise_times
+from fotarium.session import only
 
 
 def recorded_times(frames: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -27,7 +28,8 @@ def utc_instants(frames: DataFrame, manifest: DataFrame, shoots: DataFrame) -> D
 
     The zone lookup is a plain join: Spark broadcasts the shoots only below its own size
     threshold; above it the join is by dir, where AQE splits a hot folder's partition."""
-    zones = shoots.filter(F.col("dir").isNotNull()).groupBy("dir").agg(F.min("time_zone").alias("zone"))
+    frames, manifest = only(frames, "frame_id", "dir", "exif"), only(manifest, "entry_id", "dir", "mtime", "dates_set")
+    zones = only(shoots, "dir", "time_zone").filter(F.col("dir").isNotNull()).groupBy("dir").agg(F.min("time_zone").alias("zone"))
     times = recorded_times(frames, manifest).join(zones, "dir", "left")
     found = normalise_times(times, "value", "utc_us", zone="zone", fraction="fraction")
     found = found.filter(F.col("utc_us").isNotNull() & F.col("record_id").isNotNull())

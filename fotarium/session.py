@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -65,6 +66,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{where}"
 
 
+def only(df: DataFrame, *names: str) -> DataFrame:
+    """Just the columns of these exact names (the first of each), whatever others there are, also ones
+    that differ in case alone or occur twice."""
+    places = [df.columns.index(n) for n in names]
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.select(*[F.col(f"c{i}").alias(n) for i, n in zip(places, names, strict=True)])
+
+
 _written: dict[str, SparkSession] = {}
 
 
