@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fotarium.operators.ranges import partitions_for
-from fotarium.session import materialize
+from fotarium.session import materialize, only
 
 #: Prefix widths in hex digits, from narrow ranges to wide ones.
 WIDTHS = (32, 16)
@@ -50,6 +50,7 @@ def camera_name(orig: Column) -> Column:
 
 def records(df: DataFrame, record_id: str, file_digest: bool) -> DataFrame:
     """(id, size, d1, d2, name): each record once; a null id is no record."""
+    df = only(df, record_id, "size", "orig", "sha256", *(["file_sha256"] if file_digest else []))
     second = digest(F.col("file_sha256")) if file_digest else F.lit(None).cast("string")
     df = df.filter(F.col(record_id).isNotNull())
     df = df.select(F.col(record_id).cast("bigint").alias("id"), F.col("size").cast("bigint"), digest(F.col("sha256")).alias("d1"), second.alias("d2"), camera_name(F.col("orig")).alias("name"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from fotarium.llm.tokens import token_counts
 from fotarium.operators.ranges import with_rank
-from fotarium.session import materialize
+from fotarium.session import materialize, only
 
 GROUPS = 48
 #: Lengths above this share of the capacity are large.
@@ -225,6 +225,7 @@ def pack(sized: DataFrame, packs: DataFrame, doc_id: str = "doc_id") -> DataFram
     table of pack_id and capacity_tokens (its size is a matter of configuration, not of data;
     more than 1000 rows are refused); packs without a positive capacity are left out. Empty
     tables give no rows. Containers are numbered from 0 in each pack."""
+    sized, packs = only(sized, doc_id, "n_tokens"), only(packs, "pack_id", "capacity_tokens")
     known = packs.select("pack_id", "capacity_tokens").distinct().limit(1001).collect()
     if len(known) > 1000:
         raise ValueError("more than 1000 pack sizes")

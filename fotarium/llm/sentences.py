@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fotarium.session import materialize
+from fotarium.session import materialize, only
 
 # Punctuation by role.
 OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "《": "》", "〈": "〉", "「": "」", "『": "』", "“": "”", "„": "“", "«": "»", "‹": "›", "‘": "’", "‚": "‘", "»": "«"}
@@ -549,6 +549,7 @@ def sentences(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Null, empty and blank texts have no sentence. Each row is split on its own, so repeated rows give
     repeated sentences. Texts are split whole. Languages null or unknown use the statistics of all."""
+    documents = only(documents, doc_id, text, lang)
     model = materialize(learn(corpus_counts(documents, text, lang)).coalesce(4), "sentence-model")
     path = model.inputFiles()
     where = path[0].rsplit("/", 1)[0] if path else None

@@ -15,7 +15,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fotarium.session import materialize
+from fotarium.session import materialize, only
 
 #: A term is heavy if the sketch sees at least this share of all uses, so there are at most 1 / share.
 HEAVY_SHARE = 0.001
@@ -33,13 +33,14 @@ def clean_term(text: str) -> str | None:
     return term
 
 
-def record_terms(records: DataFrame, record_id: str, keywords: Column) -> DataFrame:
+def record_terms(records: DataFrame, record_id: str, column: str, keywords: Column) -> DataFrame:
     """(terms): of each record once, the terms of its keywords in their order, repeats kept.
 
+    `keywords` is an array of strings in (or of) the column named `column`.
     A record delivered more than once counts once; deliveries are alike, any of them is taken.
     Null records, null arrays and null elements have no terms; records with a null id don't
     count. Only the two columns are read, so others may have any name."""
-    once = records.select(F.col(record_id).alias("id"), keywords.cast("array<string>").alias("words")).filter(F.col("id").isNotNull())
+    once = only(records, record_id, column).select(F.col(record_id).alias("id"), keywords.cast("array<string>").alias("words")).filter(F.col("id").isNotNull())
     once = once.groupBy("id").agg(F.first("words", ignorenulls=True).alias("words")).filter(F.size("words") > 0).select("words")
     out = pa.schema([("terms", pa.list_(pa.string()))])
 
@@ -114,6 +115,6 @@ def marked_terms(counts: DataFrame, n_records: int, least_records: int = 4, leas
 
 def keyword_terms(frames: DataFrame) -> DataFrame:
     """(term, uses, frames, mark) of every term in the keywords of all frames."""
-    terms = materialize(record_terms(frames, "frame_id", F.col("evaluation.keywords")), "terms")
+    terms = materialize(record_terms(frames, "frame_id", "evaluation", F.col("evaluation.keywords")), "terms")
     counts, n = term_counts(terms)
     return marked_terms(counts, n).withColumnRenamed("records", "frames")

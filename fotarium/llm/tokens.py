@@ -20,6 +20,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fotarium.session import only
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that cuts text into words before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -115,7 +117,7 @@ def token_ids(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Empty and null texts have an empty array. Each row gives one row, repeated rows too. Texts are
     encoded whole; other columns are not read. There is no shuffle: each task maps its own rows."""
     kind = documents.schema[doc_id].dataType
-    source = documents.select(F.col(doc_id), F.col(text).cast("string").alias("_text"))
+    source = only(documents, doc_id, text).select(F.col(doc_id), F.col(text).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
