@@ -32,7 +32,7 @@ def dotted_prefixes(name: Column) -> Column:
 def stem_conflicts(stems: DataFrame, files: DataFrame, group: str, stem: str, name: str) -> DataFrame:
     """(group, stem, name): files of the group whose name begins with a stem and a dot. A file's possible
     stems are expanded, so it is an equi join and not a comparison of all pairs."""
-    heads = files.select(group, F.col(name).alias("name"), F.explode(dotted_prefixes(F.col(name))).alias("stem"))
+    heads = files.select(group, F.col(name).alias("_file")).select(group, F.col("_file"), F.explode(dotted_prefixes(F.col("_file"))).alias("stem")).withColumnRenamed("_file", "name")
     return stems.select(group, F.lower(stem).alias("stem")).distinct().join(heads, [group, "stem"])
 
 
