@@ -31,6 +31,7 @@ QUOTES = set("“”„«»‹›「」『』‘’‚\"")
 CLOSERS = set(")]}）］】》〉」』”»›’'\"*_")
 ALWAYS = "!?！？。｡।॥؟۔։።፧៖។။‼⁇⁈⁉"
 STOP = rf"[.…．{ALWAYS}]"
+PARTICLES = "とはがをにでのもや"  # Japanese ones that go on after a quote
 #: Log-likelihood ratio at which a pair or a starter counts as established (chi-square, 0.5 %).
 SURE = 7.88
 #: Score from which a type counts as an abbreviation.
@@ -447,6 +448,8 @@ def _ends(text: str, stop: Stop, opened: int, model: Model) -> bool:
             return True
         if stop.kind == "bracket":
             return True
+        if following and following in PARTICLES:
+            return False
         return not model.has("said", word) and (_starts(model, word) or not model.own.get("said"))
     if stop.kind == "always":
         if stop.gap or following in OPEN or following in "\"*_¿¡":
