@@ -74,6 +74,13 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"c{i}").alias(n) for i, n in zip(places, names, strict=True)])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where it comes in fewer partitions than there are (a few small files): for
+    work that costs far more than moving the rows. Larger inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 _written: dict[str, SparkSession] = {}
 
 
