@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fotarium.session import materialize, only
+from fotarium.session import materialize, only, spread
 
 # Punctuation by role.
 OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "《": "》", "〈": "〉", "「": "」", "『": "』", "“": "”", "„": "“", "«": "»", "‹": "›", "‘": "’", "‚": "‘", "»": "«"}
@@ -45,6 +45,8 @@ _PERIOD = re.compile(r"(?<![.\s])\.(?=[\s\"”’»)\]}*_]|$)")
 _THAI_BLANK = regex.compile(r"\s+")
 _WORD = regex.compile(r"\p{Han}|[\p{Hiragana}\p{Katakana}ー]|[\p{L}\p{M}\p{N}](?:[\p{L}\p{M}\p{N}'’]|[.,:/_~\-](?=[\p{L}\p{N}]))*")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
+_CUT = regex.compile(r"""[(\[{"“„«—–=|（「《\p{Han}\p{Hiragana}\p{Katakana}ー]""")
+_THAI = re.compile("[\u0e00-\u0e7f]")
 _FILE = re.compile(r"^[^\W_](?:[\w~/-]*\.)+[A-Za-z][A-Za-z0-9]{1,5}$")
 _LETTERS = regex.compile(r"^(?:\p{L}\p{M}*\.)+\p{L}\p{M}*$")
 _NUMBER = re.compile(r"^\d[\d.,:/-]*$")
@@ -52,9 +54,11 @@ _CLITIC = re.compile(r"['’](?:s|ll|d|ve|re|m)$")
 _DIGITS = re.compile(r"\d+")
 
 
+@lru_cache(maxsize=100_000)
 def kind_of(word: str) -> str:
     """The type of a word: composed, lower-case, with numbers, file names and digits in words generalised."""
-    word = unicodedata.normalize("NFC", word)
+    if not word.isascii():
+        word = unicodedata.normalize("NFC", word)
     if _NUMBER.match(word):
         return "##number##"
     if "." in word and _FILE.match(word) and not _LETTERS.match(word):
@@ -90,14 +94,10 @@ def word_at(text: str, at: int, end: int) -> tuple[str, str, int]:
 
 def word_before(text: str, stop: int, begin: int) -> str:
     """The run of characters before a stop that has no blank, without marks around it."""
-    i = stop
-    while i > begin and not text[i - 1].isspace() and stop - i < 80:
-        i -= 1
-    token = text[i:stop].lstrip("([{\"“„«‘'*_`（「『《【¡¿<~@#").rstrip("*_`\"”’»")
-    for j in range(len(token) - 1, -1, -1):
-        if token[j] in "([{\"“„«—–=|（「《" or _CJK.match(token, j):
-            return token[j + 1 :]
-    return token
+    near = text[max(begin, stop - 80) : stop]
+    token = "" if not near or near[-1].isspace() else near.split()[-1]
+    token = token.lstrip("([{\"“„«‘'*_`（「『《【¡¿<~@#").rstrip("*_`\"”’»")
+    return token if token.isalnum() and token.isascii() else _CUT.split(token)[-1]
 
 
 def enclosed(text: str, begin: int, end: int) -> list[tuple[int, int]]:
@@ -168,7 +168,7 @@ def candidates(text: str, begin: int, end: int) -> Iterator[Stop]:
     inside = iter([*pairs, (end + 1, end + 1)])
     a, b = next(inside)
     marks = [(m.start(), m.end()) for m in _STOPS.finditer(text, begin, end)]
-    if any(thai(c) for c in text[begin:end]):
+    if _THAI.search(text, begin, end):
         for m in _THAI_BLANK.finditer(text, begin, end):
             x, y = m.start(), m.end()
             if x > begin and y < end and (thai(text[x - 1]) or thai(text[y])) and not _latin_or_digit(text[x - 1]) and not _latin_or_digit(text[y]):
@@ -181,6 +181,7 @@ def candidates(text: str, begin: int, end: int) -> Iterator[Stop]:
             k -= 1
         if k > p + 1 and _STOPS.match(text, k - 1, q):
             closes.append((q, p))
+    opens = {p for p, _ in pairs}
     events = sorted([(s, 1, e) for s, e in marks] + [(q, 0, p) for q, p in closes])
     done = begin
     for s, is_stop, e in events:
@@ -198,12 +199,12 @@ def candidates(text: str, begin: int, end: int) -> Iterator[Stop]:
         else:
             stop_end = s + 1
         last = stop_end
-        while last < end and text[last] in CLOSERS and not (last in [p for p, _ in pairs]):
+        while last < end and text[last] in CLOSERS and last not in opens:
             last += 1
         gap_end = last
         while gap_end < end and text[gap_end].isspace():
             gap_end += 1
-        if gap_end > last and gap_end < end and text[gap_end] in "»›”" and not any(p == gap_end for p, _ in pairs):
+        if gap_end > last and gap_end < end and text[gap_end] in "»›”" and gap_end not in opens:
             last = gap_end + 1
             gap_end = last
             while gap_end < end and text[gap_end].isspace():
@@ -234,12 +235,10 @@ def language(code: Column) -> Column:
 
 
 def count_text(text: str, counts: Counter) -> None:
-    """Add to `counts` (kind, left, right): `u` words, `d` words before any single period, `s` words at
+    """Add to `counts` (kind, left, right): `d` words before any single period, `s` words at
     sure starts, `p` words around a period that could end a sentence, `q` words after a closed quote
-    that ends in a stop. `p` with right '' is a period at the end of a unit."""
-    for word in _WORD.findall(text):
-        if not _CJK.match(word):
-            counts["u", kind_of(word), ""] += 1
+    that ends in a stop. `p` with right '' is a period at the end of a unit. (`u`, all words, is counted
+    by corpus_counts().)"""
     for m in _PERIOD.finditer(text):
         left = word_before(text, m.start(), max(0, m.start() - 80))
         if left:
@@ -269,9 +268,15 @@ def corpus_counts(documents: DataFrame, text: str, lang: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
         for batch in batches:
+            words: dict[str, Counter] = {}
             for code, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if t:
                     count_text(t, held.setdefault(code, Counter()))
+                    words.setdefault(code, Counter()).update(_WORD.findall(t))
+            for code, seen in words.items():
+                for word, n in seen.items():
+                    if not _CJK.match(word):
+                        held[code]["u", kind_of(word), ""] += n
             if sum(map(len, held.values())) > 200_000:
                 yield emit(held)
                 held = {}
@@ -436,7 +441,10 @@ def _ends(text: str, stop: Stop, opened: int, model: Model) -> bool:
     case, word = stop.next[:1], stop.next
     latest = text[stop.end - 1]
     if stop.kind in ("quote", "bracket"):
-        if stop.kind == "bracket" and text[opened : stop.end].lstrip()[:1] != stop.left:
+        at = opened
+        while text[at].isspace():
+            at += 1
+        if stop.kind == "bracket" and text[at] != stop.left:
             return False
         if following in OPEN and following not in "»’" or (following == '"' and stop.gap):
             return True
@@ -486,7 +494,7 @@ def _ends(text: str, stop: Stop, opened: int, model: Model) -> bool:
     if not left:
         return case != "L"
     # a list number or letter at the start of a sentence goes with what follows
-    head = text[opened : stop.end].strip()
+    head = text[opened : stop.end].strip() if stop.end - opened < 40 else ""
     if (number or (len(left) == 1 and left.isalpha() and case_of(left) != "X") or re.fullmatch(r"[ivxIVX]{1,5}", left)) and head.rstrip(".").strip("([*_ ") == left and len(left) <= 4:
         return False
     letters = bool(_LETTERS.match(left))
@@ -552,7 +560,7 @@ def sentences(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Null, empty and blank texts have no sentence. Each row is split on its own, so repeated rows give
     repeated sentences. Texts are split whole. Languages null or unknown use the statistics of all."""
-    documents = only(documents, doc_id, text, lang)
+    documents = spread(only(documents, doc_id, text, lang))
     model = materialize(learn(corpus_counts(documents, text, lang)).coalesce(4), "sentence-model")
     path = model.inputFiles()
     where = path[0].rsplit("/", 1)[0] if path else None

@@ -20,7 +20,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fotarium.session import only
+from fotarium.session import only, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that cuts text into words before the merges of this vocabulary.
@@ -115,9 +115,10 @@ def token_ids(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, ids): the token ids of every text, without special tokens, whose spellings are plain text.
 
     Empty and null texts have an empty array. Each row gives one row, repeated rows too. Texts are
-    encoded whole; other columns are not read. There is no shuffle: each task maps its own rows."""
+    encoded whole; other columns are not read. Each task maps its own rows; only inputs of fewer partitions than cores
+    are spread first."""
     kind = documents.schema[doc_id].dataType
-    source = only(documents, doc_id, text).select(F.col(doc_id), F.col(text).cast("string").alias("_text"))
+    source = spread(only(documents, doc_id, text)).select(F.col(doc_id), F.col(text).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
