@@ -1,0 +1 @@
+"""Incremental forms: folds of logs that arrive file by file."""
