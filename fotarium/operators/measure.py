@@ -55,3 +55,20 @@ def look_steps(planes: DataFrame) -> DataFrame:
     rows = planes.select("label", "vec_id", V.levelled(grey).alias("look"))
     rows = with_previous(rows, ["label"], ["vec_id"], {"before_id": "vec_id", "before_look": "look"}, "looks").filter(F.col("before_id").isNotNull())
     return rows.select("label", "vec_id", "before_id", round_half_away(V.look_distance(F.col("look"), F.col("before_look")), 9).alias("distance"))
+
+
+def noise_and_floor(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., noise, floor): from the `fine` and `coarse` Laplacian variances of a frame's cells, the fine
+    one at a tenth of the sorted list, and the greater of a quarter of the median fine one and the
+    coarse one at three quarters. A frame has a bounded number of cells."""
+    sorted_ = cells.groupBy(*keys).agg(F.sort_array(F.collect_list("fine")).alias("f"), F.sort_array(F.collect_list("coarse")).alias("c"))
+    at = lambda a, share: F.try_element_at(F.col(a), (F.floor(F.size(a) * share) + 1).cast("int"))
+    return sorted_.select(*keys, at("f", 0.1).alias("noise"), F.greatest(at("f", 0.5) / 4, at("c", 0.75)).alias("floor"))
+
+
+def best_face(faces):
+    """Of an array of structs (q, area), confident ones at least half as sure as the best: the largest, of
+    equal ones the surest; null without any."""
+    best = F.array_max(F.transform(faces, lambda f: f["q"]))
+    sure = F.filter(faces, lambda f: f["q"] >= best / 2)
+    return F.array_max(F.transform(sure, lambda f: F.struct(f["area"].alias("area"), f["q"].alias("q"))))

@@ -98,3 +98,41 @@ def upper_median(groups: DataFrame, keys: list[str], value: str) -> DataFrame:
     total = rows.groupBy(*keys).agg(F.sum("_c").alias("n"))
     at = F.floor(F.col("n") / 2)
     return rows.join(total, keys).filter((F.col("_upto") > at) & (F.col("_upto") - F.col("_c") <= at)).select(*keys, "n", F.col(value).alias("median"))
+
+
+def carry_order(members: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., set_id, order, covers): the stored order that each current set takes over, restricted to
+    its current members, and whether it covers all that can be ranked.
+
+    `members`: keys, set_id, file, pos, rankable; `stored`: keys, stored_id, order (array of files). A file in
+    several stored orders belongs to the first. A set takes the stored order of its first rankable
+    member found in one, else of its first member found. Sets are bounded, so their arrays are."""
+    placed = stored.select(*keys, "stored_id", F.explode("order").alias("file")).groupBy(*keys, "file").agg(F.min("stored_id").alias("stored_id"))
+    met = members.join(placed, [*keys, "file"], "left")
+    pick = met.groupBy(*keys, "set_id").agg(
+        F.min(F.when(F.col("stored_id").isNotNull(), F.struct(~F.col("rankable"), F.col("pos"), F.col("stored_id")))).alias("first"),
+        F.collect_set("file").alias("files"), F.collect_set(F.when(F.col("rankable"), F.col("file"))).alias("needed"),
+    )
+    found = pick.select(*keys, "set_id", "files", "needed", F.col("first.stored_id").alias("stored_id")).join(stored, [*keys, "stored_id"])
+    kept = F.filter("order", lambda f: F.array_contains("files", f))
+    return found.select(*keys, "set_id", kept.alias("order"), (F.size(F.array_except("needed", kept)) == 0).alias("covers"))
+
+
+def merge_orders(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """Add `rank` (from 1) of a set ranked in chunks: finalists by `final_rank`, then the others by their rank
+    in the chunk (`chunk_rank`), then by chunk. Sets are bounded, so is the window."""
+    by = [F.col("final_rank").isNull(), F.col("final_rank"), F.col("chunk_rank"), F.col("chunk")]
+    return chunks.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
+
+
+def disputed(first: Column, second: Column, keep: int) -> Column:
+    """Whether exactly one of two ranks lies within `keep`; false if either is missing."""
+    return F.coalesce((first <= keep) != (second <= keep), F.lit(False))
+
+
+def set_difference(a: DataFrame, b: DataFrame, keys: list[str], set_id: str, member: str) -> DataFrame:
+    """(keys..., members, side): sets (as sorted member lists) that only one of two groupings has. The
+    sets must be bounded, as sequences() makes them."""
+    lists = lambda df: df.groupBy(*keys, set_id).agg(F.sort_array(F.collect_list(member)).alias("members")).drop(set_id)
+    left, right = lists(a), lists(b)
+    return left.exceptAll(right).withColumn("side", F.lit("first")).unionByName(right.exceptAll(left).withColumn("side", F.lit("second")))

@@ -154,3 +154,26 @@ def test_broken_clock(spark):
     rows = [("bad", i, t + i) for i in range(11)] + [("good", i, t + i * 1_000_000) for i in range(11)] + [("few", i, t) for i in range(5)]
     got = {r["k"]: r["broken"] for r in order.broken_clocks(spark.createDataFrame(rows, "k string, i int, t bigint"), "k", "t", "i").collect()}
     assert got == {"bad": True, "good": False, "few": False}
+
+
+def test_stored_orders_are_carried(spark):
+    members = spark.createDataFrame([("d", 1, f, p, r) for f, p, r in (("a", 0, False), ("b", 1, True), ("c", 2, True))] + [("d", 2, "x", 0, True), ("d", 3, "q", 0, True)], "k string, set_id int, file string, pos int, rankable boolean")
+    stored = spark.createDataFrame([("d", 1, ["a", "x"]), ("d", 2, ["c", "b", "gone"])], "k string, stored_id int, order array<string>")
+    got = {r["set_id"]: (r["order"], r["covers"]) for r in order.carry_order(members, stored, ["k"]).collect()}
+    assert got == {1: (["c", "b"], True), 2: (["x"], True)}
+
+
+def test_merged_chunks(spark):
+    chunks, final = [[2, 0, 3, 1], [5, 7, 4, 6]], [5, 2, 7, 0]
+    rows = [("s", f, c, i, final.index(f) if f in final else None) for c, ch in enumerate(chunks) for i, f in enumerate(ch)]
+    df = order.merge_orders(spark.createDataFrame(rows, "k string, f int, chunk int, chunk_rank int, final_rank int"), ["k"])
+    assert [r["f"] for r in df.orderBy("rank").collect()] == [5, 2, 7, 0, 3, 4, 1, 6]
+
+
+def test_set_difference_and_faces(spark):
+    a = spark.createDataFrame([("k", 1, 1), ("k", 1, 2), ("k", 2, 3)], "k string, s int, m int")
+    b = spark.createDataFrame([("k", 9, 2), ("k", 9, 1), ("k", 8, 4)], "k string, s int, m int")
+    assert sorted((r["side"], r["members"]) for r in order.set_difference(a, b, ["k"], "s", "m").collect()) == [("first", [3]), ("second", [4])]
+    faces = spark.createDataFrame([([(10.0, 1.0), (6.0, 5.0), (4.0, 9.0)],), ([],)], "f array<struct<q:double,area:double>>")
+    assert [r["b"] and r["b"]["area"] for r in faces.select(measure.best_face(F.col("f")).alias("b")).collect()] == [5.0, None]
+    assert one(spark, order.disputed(F.col("a"), F.col("b"), 3), a=3, b=4) is True
