@@ -320,6 +320,7 @@ def learn(counts: DataFrame) -> DataFrame:
     last = dots.groupBy("lang").agg((1 - F.sum("more") / F.sum("dot")).alias("last"))
     total = starts.groupBy("lang").agg(F.sum("n").alias("all_s"), F.sum(F.when(F.startswith("a", F.lit("D:")), F.col("n")).otherwise(0)).alias("dig_s"))
     types = dots.join(words.select("lang", "a", F.col("n").alias("uses")), ["lang", "a"], "left").join(ended.select("lang", "a", F.col("n").alias("before")), ["lang", "a"], "left").join(size, "lang").join(stops, "lang").join(last, "lang").join(total, "lang", "left")
+    types = materialize(types, "sentence-types")  # read by six of the tables below
     before = F.greatest(F.coalesce("before", F.lit(0)), F.col("dot")).cast("double")
     uses = F.greatest(F.coalesce("uses", F.lit(0)).cast("double"), before)
     base = F.col("stops") / F.greatest(F.col("all_n"), F.col("stops"))
@@ -334,15 +335,16 @@ def learn(counts: DataFrame) -> DataFrame:
     k, n, k0, n0 = (F.coalesce(F.col(c), F.lit(0)).cast("double") for c in ("dig", "more", "dig_s", "all_s"))
     often = (n > 0) & (k / n > 3 * k0 / F.greatest(n0, F.lit(1.0))) & (pair_ratio(k, n, k0, F.greatest(n0, F.lit(1.0))) >= SURE)
     dig = types.filter(plain & (F.col("dot") >= 3) & often).select("lang", F.lit("dig").alias("kind"), "a", F.lit("").alias("b"), (F.col("dig") / F.col("dot")).alias("value"))
-    begun = starts.join(total, "lang").select("lang", F.col("a").alias("word"), F.col("n").alias("s"), "all_s")
+    begun = materialize(starts.join(total, "lang").select("lang", F.col("a").alias("word"), F.col("n").alias("s"), "all_s"), "sentence-starts")
     start = begun.filter(F.col("s") >= 2).select("lang", F.lit("start").alias("kind"), F.col("word").alias("a"), F.lit("").alias("b"), (F.col("s") / F.col("all_s")).alias("value"))
     lower = begun.filter(F.startswith("word", F.lit("L:")) & (F.col("s") >= 3)).withColumn("a", F.substring("word", 3, 1000))
     lower = lower.join(words.select("lang", "a", "n"), ["lang", "a"]).select("lang", F.lit("own").alias("kind"), F.col("word").alias("a"), F.lit("").alias("b"), F.least(F.lit(1.0), F.col("s") / F.col("n")).alias("value"))
     # only types that can be in doubt need their pairs: abbreviations, numbers, initials
     doubt = abbr.select("lang", "a").union(low.select("lang", "a")).union(dig.select("lang", "a")).union(types.filter((F.col("a") == "##number##") | F.regexp_like("a", F.lit(r"^(\p{L}\p{M}*\.)*\p{L}\p{M}*$"))).select("lang", "a"))
-    doubt = dots.select("lang", "a", "more").join(doubt.select("a").distinct(), "a")  # doubtful in one language: judged in each
+    doubt = types.select("lang", "a", "more", "all_s").join(doubt.select("a").distinct(), "a")  # doubtful in one language: judged in each
+    doubt = materialize(doubt, "sentence-doubt")
     known = doubt.filter(F.col("more") >= KNOWN).select("lang", F.lit("known").alias("kind"), "a", F.lit("").alias("b"), F.col("more").cast("double").alias("value"))
-    pairs = around.filter(F.col("b") != "").join(doubt, ["lang", "a"]).join(total, "lang", "left").join(begun.select("lang", F.col("word").alias("b"), "s"), ["lang", "b"], "left")
+    pairs = around.filter(F.col("b") != "").join(doubt, ["lang", "a"]).join(begun.select("lang", F.col("word").alias("b"), "s"), ["lang", "b"], "left")
     k0, n0 = F.coalesce("s", F.lit(0)).cast("double"), F.coalesce("all_s", F.lit(1)).cast("double")
     rate, rate0 = F.col("n") / F.col("more"), k0 / n0
     pair = pairs.filter((F.col("n") >= 2) & (rate > 3 * rate0) & (pair_ratio(F.col("n").cast("double"), F.col("more").cast("double"), k0, n0) >= SURE)).select("lang", F.lit("pair").alias("kind"), "a", "b", rate.alias("value"))
