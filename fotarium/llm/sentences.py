@@ -311,15 +311,17 @@ def learn(counts: DataFrame) -> DataFrame:
     every = counts.withColumn("lang", F.lit("*")).groupBy("lang", "kind", "a", "b").agg(F.sum("n").alias("n"))
     counts = materialize(counts.unionByName(every), "sentence-counts")
     words, ended, starts, around, quoted = (counts.filter(F.col("kind") == k) for k in "udspq")
-    size = words.groupBy("lang").agg(F.sum("n").alias("all_n"))
+    kind, held = F.col("kind"), lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
+    totals = counts.groupBy("lang").agg(
+        held(kind == "u").alias("all_n"), held(kind == "d").alias("stops"), held(kind == "s").alias("all_s"), held((kind == "s") & F.startswith("a", F.lit("D:"))).alias("dig_s"),
+        (held((kind == "p") & (F.col("b") == "")) / F.nullif(held(kind == "p"), F.lit(0))).alias("last"), held(kind == "q").alias("all_q"),
+    )
+    totals = materialize(totals.coalesce(1), "sentence-totals")  # a row a language code: less than 700
     dots = around.groupBy("lang", "a").agg(
         F.sum("n").alias("dot"), F.sum(F.when(F.startswith("b", F.lit("L:")), F.col("n")).otherwise(0)).alias("low"),
         F.sum(F.when(F.startswith("b", F.lit("D:")), F.col("n")).otherwise(0)).alias("dig"), F.sum(F.when(F.col("b") != "", F.col("n")).otherwise(0)).alias("more"),
     )
-    stops = ended.groupBy("lang").agg(F.sum("n").alias("stops"))
-    last = dots.groupBy("lang").agg((1 - F.sum("more") / F.sum("dot")).alias("last"))
-    total = starts.groupBy("lang").agg(F.sum("n").alias("all_s"), F.sum(F.when(F.startswith("a", F.lit("D:")), F.col("n")).otherwise(0)).alias("dig_s"))
-    types = dots.join(words.select("lang", "a", F.col("n").alias("uses")), ["lang", "a"], "left").join(ended.select("lang", "a", F.col("n").alias("before")), ["lang", "a"], "left").join(size, "lang").join(stops, "lang").join(last, "lang").join(total, "lang", "left")
+    types = dots.join(words.select("lang", "a", F.col("n").alias("uses")), ["lang", "a"], "left").join(ended.select("lang", "a", F.col("n").alias("before")), ["lang", "a"], "left").join(F.broadcast(totals), "lang")
     types = materialize(types, "sentence-types")  # read by six of the tables below
     before = F.greatest(F.coalesce("before", F.lit(0)), F.col("dot")).cast("double")
     uses = F.greatest(F.coalesce("uses", F.lit(0)).cast("double"), before)
@@ -335,7 +337,7 @@ def learn(counts: DataFrame) -> DataFrame:
     k, n, k0, n0 = (F.coalesce(F.col(c), F.lit(0)).cast("double") for c in ("dig", "more", "dig_s", "all_s"))
     often = (n > 0) & (k / n > 3 * k0 / F.greatest(n0, F.lit(1.0))) & (pair_ratio(k, n, k0, F.greatest(n0, F.lit(1.0))) >= SURE)
     dig = types.filter(plain & (F.col("dot") >= 3) & often).select("lang", F.lit("dig").alias("kind"), "a", F.lit("").alias("b"), (F.col("dig") / F.col("dot")).alias("value"))
-    begun = materialize(starts.join(total, "lang").select("lang", F.col("a").alias("word"), F.col("n").alias("s"), "all_s"), "sentence-starts")
+    begun = materialize(starts.join(F.broadcast(totals), "lang").select("lang", F.col("a").alias("word"), F.col("n").alias("s"), "all_s"), "sentence-starts")
     start = begun.filter(F.col("s") >= 2).select("lang", F.lit("start").alias("kind"), F.col("word").alias("a"), F.lit("").alias("b"), (F.col("s") / F.col("all_s")).alias("value"))
     lower = begun.filter(F.startswith("word", F.lit("L:")) & (F.col("s") >= 3)).withColumn("a", F.substring("word", 3, 1000))
     lower = lower.join(words.select("lang", "a", "n"), ["lang", "a"]).select("lang", F.lit("own").alias("kind"), F.col("word").alias("a"), F.lit("").alias("b"), F.least(F.lit(1.0), F.col("s") / F.col("n")).alias("value"))
@@ -345,11 +347,10 @@ def learn(counts: DataFrame) -> DataFrame:
     doubt = materialize(doubt, "sentence-doubt")
     known = doubt.filter(F.col("more") >= KNOWN).select("lang", F.lit("known").alias("kind"), "a", F.lit("").alias("b"), F.col("more").cast("double").alias("value"))
     pairs = around.filter(F.col("b") != "").join(doubt, ["lang", "a"]).join(begun.select("lang", F.col("word").alias("b"), "s"), ["lang", "b"], "left")
-    k0, n0 = F.coalesce("s", F.lit(0)).cast("double"), F.coalesce("all_s", F.lit(1)).cast("double")
+    k0, n0 = F.coalesce("s", F.lit(0)).cast("double"), F.greatest(F.coalesce("all_s", F.lit(1)), F.lit(1)).cast("double")
     rate, rate0 = F.col("n") / F.col("more"), k0 / n0
     pair = pairs.filter((F.col("n") >= 2) & (rate > 3 * rate0) & (pair_ratio(F.col("n").cast("double"), F.col("more").cast("double"), k0, n0) >= SURE)).select("lang", F.lit("pair").alias("kind"), "a", "b", rate.alias("value"))
-    closed = quoted.groupBy("lang").agg(F.sum("n").alias("all_q"))
-    after = quoted.select("lang", F.col("a").alias("word"), F.col("n").alias("q")).join(closed, "lang").join(total, "lang", "left").join(begun.select("lang", "word", "s"), ["lang", "word"], "left")
+    after = quoted.select("lang", F.col("a").alias("word"), F.col("n").alias("q")).join(F.broadcast(totals), "lang").join(begun.select("lang", "word", "s"), ["lang", "word"], "left")
     said_rate = F.col("q") / F.col("all_q")
     said = after.filter((F.col("q") >= 2) & (said_rate > 3 * rate0) & (pair_ratio(F.col("q").cast("double"), F.col("all_q").cast("double"), k0, n0) >= SURE)).select("lang", F.lit("said").alias("kind"), F.col("word").alias("a"), F.lit("").alias("b"), said_rate.alias("value"))
     out = abbr
