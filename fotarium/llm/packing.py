@@ -206,11 +206,11 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS, large:
     return Plan(start, first, each, containers)
 
 
-def pieces(sized: DataFrame, packs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+def pieces(sized: DataFrame, capacity: dict, pack_type: str, doc_id: str = "doc_id") -> DataFrame:
     """(pack_id, doc_id, part, token_start, n_tokens): every document for every pack, whole unless
     it alone exceeds the capacity; then in parts of the full capacity and a rest."""
-    packs = packs.filter((F.col("capacity_tokens") > 0) & F.col("pack_id").isNotNull()).select("pack_id", F.col("capacity_tokens").cast("bigint").alias("_cap"))
-    rows = sized.select(F.col(doc_id).alias("doc_id"), F.col("n_tokens").alias("_n")).join(F.broadcast(packs))
+    each = F.array(*[F.struct(F.lit(p).cast(pack_type).alias("pack_id"), F.lit(c).cast("bigint").alias("_cap")) for p, c in capacity.items()])
+    rows = sized.select(F.col(doc_id).alias("doc_id"), F.col("n_tokens").alias("_n"), F.inline(each))
     last = F.greatest(F.lit(0), F.ceil(F.col("_n") / F.col("_cap")).cast("int") - 1)
     rows = rows.select("pack_id", "doc_id", "_n", "_cap", F.explode(F.sequence(F.lit(0), last)).alias("part"))
     start = F.col("part").cast("bigint") * F.col("_cap")
@@ -232,7 +232,10 @@ def pack(sized: DataFrame, packs: DataFrame, doc_id: str = "doc_id") -> DataFram
     capacity = {r["pack_id"]: int(r["capacity_tokens"]) for r in known if r["pack_id"] is not None and (r["capacity_tokens"] or 0) > 0}
     if len(capacity) < sum(1 for r in known if r["pack_id"] is not None and (r["capacity_tokens"] or 0) > 0):
         raise ValueError("a pack_id with several capacities")
-    cut = pieces(sized, packs.distinct(), doc_id)
+    kind = packs.schema["pack_id"].dataType.simpleString()
+    cut = pieces(sized, capacity or {None: 1}, kind, doc_id)
+    if not capacity:
+        cut = cut.limit(0)
     ranked = with_rank(cut.withColumn("_less", -F.col("n_tokens")), ["_less", "doc_id", "part"], "pieces", "_rank", ["pack_id"]).drop("_less")
     histograms: dict = {p: {} for p in capacity}
     for r in cut.groupBy("pack_id", "n_tokens").count().collect():  # at most capacity + 1 rows a pack
