@@ -384,7 +384,10 @@ class Model:
         return (left, "") in self.of(left).get(kind, ())
 
     def pair(self, left: str, right: str) -> bool:
-        return (left, right) in self.of(left).get("pair", ())
+        """Whether the two around a stop are a collocation. Numbers belong to no language: there the
+        one in which the next word begins sentences decides."""
+        held = self.corpus.tables.get(self.corpus.begins.get(right)) if left == "##number##" else None
+        return (left, right) in (held or self.of(left)).get("pair", ())
 
     def value(self, kind: str, key: str) -> float:
         return max(self.own.get(kind, {}).get((key, ""), 0.0), self.pooled.get(kind, {}).get((key, ""), 0.0))
