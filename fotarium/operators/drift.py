@@ -8,6 +8,7 @@ solve the renames by bipartite matching."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +22,7 @@ from fotarium.session import materialize, only
 PROFILE = "report_id bigint, dir string, generated_at timestamp_ntz, types array<struct<path:string,type:string>>, sketches array<struct<path:string,holders:array<bigint>,hashes:array<bigint>>>"
 PAIR = "report_id bigint, before_id bigint, side int, path string, type string, change string, field_before string, field_after string"
 CHANGES = "report_id bigint, change string, field_before string, field_after string"
+NAMES = "a string, name string"
 VALUES = "report_id bigint, dir string, generated_at timestamp_ntz, frame string, field string, type string, value string"
 
 
@@ -140,26 +142,49 @@ def field_values(reports: DataFrame) -> DataFrame:
     return known.select("report_id", "dir", F.col("generated_at").cast("timestamp_ntz"), "raw").mapInArrow(run, VALUES)
 
 
-def unified_reports(reports: DataFrame, changes: DataFrame | None = None, least: int = 2) -> DataFrame:
+def _names(facts: DataFrame) -> DataFrame:
+    """(a, name) of the fields that come under another name, from rows (kind, names, n): `pair` the two
+    names of a rename with its reports, `held` names that stand in one frame, `use` a name with its
+    reports, `field` a field to be named. All are distinct names, so one task takes them."""
+    schema = _arrow(NAMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        of = {kind: [(r["names"], r["n"]) for r in rows if r["kind"] == kind] for kind in ("pair", "held", "use", "field")}
+        named = J.one_name([(*names, n) for names, n in of["pair"]], [names for names, _ in of["held"]], {names[0]: n for names, n in of["use"]})
+        fields = [(names[0], named(names[0])) for names, _ in of["field"]]
+        yield _emit(schema, [{"a": a, "name": name} for a, name in fields if name != a])
+
+    return facts.repartition(1).mapInArrow(run, NAMES)
+
+
+def unified_reports(reports: DataFrame, changes: DataFrame | None = None, least: int = 1) -> DataFrame:
     """All runs and frames as one long table under one name per field.
 
-    A field renamed (at itself or above) in at least `least` reports takes the name that more
-    reports use, then the first by alphabet. Text numbers and text booleans of a field whose usual
-    type is number or boolean come as such; `type_written` keeps what stood there. A value that
-    can't be read as the usual type keeps its own."""
+    All names that a field (or an object above it) was renamed between in at least `least` reports,
+    in either direction and over any number of steps, become the name that most reports use, then
+    the first by alphabet. Only names that some frame holds side by side are two fields: where
+    renames would join them, the ones that more reports made hold. Text numbers and text booleans
+    of a field whose usual type is number or boolean come as such; `type_written` keeps what stood
+    there. A value that can't be read as the usual type keeps its own."""
     changes = field_changes(reports) if changes is None else changes
     values = materialize(field_values(reports), "values")
-    use = values.groupBy("field").agg(F.countDistinct("report_id").alias("n"))
-    pairs = changes.filter("change = 'renamed'").groupBy("field_before", "field_after").agg(F.count(F.lit(1)).alias("seen")).filter(F.col("seen") >= least)
-    # a rename of an object carries over to the fields below it; two names are matched at leaf level
-    leaf = use.select("field").distinct()
+    pair = F.sort_array(F.array("field_before", "field_after"))
+    pairs = changes.filter("change = 'renamed'").groupBy(pair.alias("names")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    pairs = materialize(pairs, "renames")
+    # a rename of an object carries over to the fields below it
     parts = F.split("field", r"\.")
     heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.regexp_replace(F.array_join(F.slice(parts, 1, i), "."), r"\[\]$", ""))
-    leaf = leaf.select("field", F.explode(heads).alias("field_before"))
-    moved = pairs.join(leaf, "field_before").select(F.col("field").alias("a"), F.concat("field_after", F.expr("substring(field, length(field_before) + 1)")).alias("b"))
-    both = moved.union(moved.select("b", "a")).distinct().join(use.select(F.col("field").alias("b"), "n"), "b")
-    own = use.select(F.col("field").alias("a"), "n").join(both.select(F.col("a"), "b", F.col("n").alias("nb")), "a")
-    names = own.filter((F.col("nb") > F.col("n")) | ((F.col("nb") == F.col("n")) & (F.col("b") < F.col("a")))).groupBy("a").agg(F.min_by("b", F.struct(-F.col("nb"), F.col("b"))).alias("name"))
+    below = values.select("field").distinct().select("field", F.explode(heads).alias("path")).join(pairs.select(F.explode("names").alias("path")).distinct(), "path")
+    below = materialize(below, "renamed-fields")
+    held = values.select("report_id", "frame", "field").join(below, "field").groupBy("report_id", "frame").agg(F.sort_array(F.collect_set("path")).alias("names"))
+    held = materialize(held.groupBy("report_id", "names").agg(F.lit(1).alias("n")), "renamed-held")
+    use = held.select("report_id", F.explode("names").alias("path")).groupBy("path").agg(F.countDistinct("report_id").alias("n"))
+    facts = [
+        pairs.select(F.lit("pair").alias("kind"), "names", "n"), held.select(F.lit("held").alias("kind"), "names", F.lit(0).alias("n")).distinct(),
+        use.select(F.lit("use").alias("kind"), F.array("path").alias("names"), "n"), below.select(F.lit("field").alias("kind"), F.array("field").alias("names"), F.lit(0).alias("n")).distinct(),
+    ]
+    names = _names(reduce(DataFrame.unionByName, facts))
     out = values.join(names, values["field"] == names["a"], "left").withColumn("field", F.coalesce("name", "field")).drop("a", "name")
     usual = out.groupBy("field", "type").agg(F.count(F.lit(1)).alias("c")).groupBy("field").agg(F.max_by("type", F.struct("c", "type")).alias("usual"))
     out = out.join(usual, "field", "left")
