@@ -45,6 +45,7 @@ _PERIOD = re.compile(r"(?<![.\s])\.(?=[\s\"”’»)\]}*_]|$)")
 _THAI_BLANK = regex.compile(r"\s+")
 _WORD = regex.compile(r"\p{Han}|[\p{Hiragana}\p{Katakana}ー]|[\p{L}\p{M}\p{N}](?:[\p{L}\p{M}\p{N}'’]|[.,:/_~\-](?=[\p{L}\p{N}]))*")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
+_SIGN = regex.compile(r"[^\p{L}\p{M}\p{N}\s]")
 _CUT = regex.compile(r"""[(\[{"“„«—–=|（「《\p{Han}\p{Hiragana}\p{Katakana}ー]""")
 _THAI = re.compile("[\u0e00-\u0e7f]")
 _FILE = re.compile(r"^[^\W_](?:[\w~/-]*\.)+[A-Za-z][A-Za-z0-9]{1,5}$")
@@ -74,7 +75,7 @@ def case_of(word: str) -> str:
 
 def word_at(text: str, at: int, end: int) -> tuple[str, str, int]:
     """(case + type, mark, place) of the first word from `at`: the mark is what precedes it other than
-    white space; in scripts without blanks the word is up to three characters."""
+    white space; in scripts without blanks the word is up to three characters, with digits generalised."""
     i, mark = at, ""
     while i < end and not (text[i].isalnum()):
         if not text[i].isspace():
@@ -86,7 +87,7 @@ def word_at(text: str, at: int, end: int) -> tuple[str, str, int]:
     if i >= end:
         return "", mark, end
     if _CJK.match(text, i):
-        return "X:" + unicodedata.normalize("NFC", text[i : min(end, i + 9)])[:3], mark, i
+        return "X:" + _DIGITS.sub("#", unicodedata.normalize("NFC", text[i : min(end, i + 9)])[:3]), mark, i
     m = _WORD.match(text, i, end)
     word = m.group() if m else text[i]
     return f"{case_of(word)}:{kind_of(word)}", mark, i
@@ -237,8 +238,8 @@ def language(code: Column) -> Column:
 def count_text(text: str, counts: Counter) -> None:
     """Add to `counts` (kind, left, right): `d` words before any single period, `s` words at
     sure starts, `p` words around a period that could end a sentence, `q` words after a closed quote
-    that ends in a stop. `p` with right '' is a period at the end of a unit. (`u`, all words, is counted
-    by corpus_counts().)"""
+    that ends in a stop. `p` with right '' is a period at the end of a unit. (`w` and `c`, all words, are
+    counted by corpus_counts().)"""
     for m in _PERIOD.finditer(text):
         left = word_before(text, m.start(), max(0, m.start() - 80))
         if left:
@@ -256,6 +257,23 @@ def count_text(text: str, counts: Counter) -> None:
                 counts["s", stop.next, ""] += 1
 
 
+def count_uses(texts: list[str], counts: Counter) -> None:
+    """Add to `counts` every place at which word_at() would find a word, whether or not a sentence starts
+    there: `w` words by case and type; `c` three characters from each one in scripts without blanks, and marks."""
+    words, rest = Counter(), Counter()
+    for text in texts:
+        words.update(_WORD.findall(text))
+        rest.update(_SIGN.findall(text))
+        if _CJK.search(text):
+            whole = unicodedata.normalize("NFC", text)
+            rest.update(whole[m.start() : m.start() + 3] for m in _CJK.finditer(whole))
+    for word, n in words.items():
+        if not _CJK.match(word):
+            counts["w", f"{case_of(word)}:{kind_of(word)}", ""] += n
+    for chars, n in rest.items():
+        counts["c", "X:" + _DIGITS.sub("#", chars), ""] += n
+
+
 def corpus_counts(documents: DataFrame, text: str, lang: str) -> DataFrame:
     """(lang, kind, a, b, n) over all documents, each distinct event counted in its language."""
     schema = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])
@@ -268,15 +286,13 @@ def corpus_counts(documents: DataFrame, text: str, lang: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
         for batch in batches:
-            words: dict[str, Counter] = {}
+            texts: dict[str, list[str]] = {}
             for code, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if t:
                     count_text(t, held.setdefault(code, Counter()))
-                    words.setdefault(code, Counter()).update(_WORD.findall(t))
-            for code, seen in words.items():
-                for word, n in seen.items():
-                    if not _CJK.match(word):
-                        held[code]["u", kind_of(word), ""] += n
+                    texts.setdefault(code, []).append(t)
+            for code, held_texts in texts.items():
+                count_uses(held_texts, held[code])
             if sum(map(len, held.values())) > 200_000:
                 yield emit(held)
                 held = {}
@@ -303,17 +319,19 @@ def learn(counts: DataFrame) -> DataFrame:
 
     `abbr`: types with their abbreviation score (from ABBREVIATION on); `low`, `dig`: types that
     lower case follows at least half of the time, or digits far more often than they start
-    sentences; `start`: words with their
-    share of all sure starts; `own`: of the lower-case ones, the share of their uses; `known`: types with enough followers;
+    sentences; `start`: words that follow sure ends significantly more often than they are used, with
+    their share of all sure starts; `used`: the uses of these words in every language; `begin`: that share of every word that began more than one; `own`: of the lower-case ones, the share of their uses; `known`: types with enough followers;
     `pair`: types
     and next words that follow a period of the type far more often than they start sentences;
     `said`: words that follow closed quotes far more often than they start sentences."""
     every = counts.withColumn("lang", F.lit("*")).groupBy("lang", "kind", "a", "b").agg(F.sum("n").alias("n"))
     counts = materialize(counts.unionByName(every), "sentence-counts")
-    words, ended, starts, around, quoted = (counts.filter(F.col("kind") == k) for k in "udspq")
+    ended, starts, around, quoted = (counts.filter(F.col("kind") == k) for k in "dspq")
+    placed = counts.filter(F.col("kind").isin("w", "c")).groupBy("lang", "a").agg(F.sum("n").alias("used"))
+    words = counts.filter(F.col("kind") == "w").groupBy("lang", F.substring("a", 3, 1_000_000).alias("a")).agg(F.sum("n").alias("n"))
     kind, held = F.col("kind"), lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
     totals = counts.groupBy("lang").agg(
-        held(kind == "u").alias("all_n"), held(kind == "d").alias("stops"), held(kind == "s").alias("all_s"), held((kind == "s") & F.startswith("a", F.lit("D:"))).alias("dig_s"),
+        held(kind == "w").alias("all_n"), held(kind.isin("w", "c")).alias("all_used"), held(kind == "d").alias("stops"), held(kind == "s").alias("all_s"), held((kind == "s") & F.startswith("a", F.lit("D:"))).alias("dig_s"),
         (held((kind == "p") & (F.col("b") == "")) / F.nullif(held(kind == "p"), F.lit(0))).alias("last"), held(kind == "q").alias("all_q"),
     )
     totals = materialize(totals.coalesce(1), "sentence-totals")  # a row a language code: less than 700
@@ -337,8 +355,15 @@ def learn(counts: DataFrame) -> DataFrame:
     k, n, k0, n0 = (F.coalesce(F.col(c), F.lit(0)).cast("double") for c in ("dig", "more", "dig_s", "all_s"))
     often = (n > 0) & (k / n > 3 * k0 / F.greatest(n0, F.lit(1.0))) & (pair_ratio(k, n, k0, F.greatest(n0, F.lit(1.0))) >= SURE)
     dig = types.filter(plain & (F.col("dot") >= 3) & often).select("lang", F.lit("dig").alias("kind"), "a", F.lit("").alias("b"), (F.col("dig") / F.col("dot")).alias("value"))
-    begun = materialize(starts.join(F.broadcast(totals), "lang").select("lang", F.col("a").alias("word"), F.col("n").alias("s"), "all_s"), "sentence-starts")
-    start = begun.filter(F.col("s") >= 2).select("lang", F.lit("start").alias("kind"), F.col("word").alias("a"), F.lit("").alias("b"), (F.col("s") / F.col("all_s")).alias("value"))
+    begun = materialize(starts.join(F.broadcast(totals), "lang").select("lang", F.col("a").alias("word"), F.col("n").alias("s"), "all_s", "all_used"), "sentence-starts")
+    share = F.col("s") / F.col("all_s")
+    begin = begun.filter(F.col("s") >= 2).select("lang", F.lit("begin").alias("kind"), F.col("word").alias("a"), F.lit("").alias("b"), share.alias("value"))
+    k, n, k0 = F.col("s").cast("double"), F.col("all_s").cast("double"), F.greatest(F.coalesce("used", F.lit(0)), F.col("s")).cast("double")
+    n0 = F.greatest(F.col("all_used"), F.col("all_s")).cast("double")
+    start = begun.join(placed.withColumnRenamed("a", "word"), ["lang", "word"], "left").filter((k / n > k0 / n0) & (pair_ratio(k, n, k0, n0) >= SURE))
+    start = materialize(start, "sentence-starters")
+    used = placed.join(start.select(F.col("word").alias("a")).distinct(), "a").select("lang", F.lit("used").alias("kind"), "a", F.lit("").alias("b"), F.col("used").cast("double").alias("value"))
+    start = start.select("lang", F.lit("start").alias("kind"), F.col("word").alias("a"), F.lit("").alias("b"), share.alias("value"))
     lower = begun.filter(F.startswith("word", F.lit("L:")) & (F.col("s") >= 3)).withColumn("a", F.substring("word", 3, 1000))
     lower = lower.join(words.select("lang", "a", "n"), ["lang", "a"]).select("lang", F.lit("own").alias("kind"), F.col("word").alias("a"), F.lit("").alias("b"), F.least(F.lit(1.0), F.col("s") / F.col("n")).alias("value"))
     # only types that can be in doubt need their pairs: abbreviations, numbers, initials
@@ -354,7 +379,7 @@ def learn(counts: DataFrame) -> DataFrame:
     said_rate = F.col("q") / F.col("all_q")
     said = after.filter((F.col("q") >= 2) & (said_rate > 3 * rate0) & (pair_ratio(F.col("q").cast("double"), F.col("all_q").cast("double"), k0, n0) >= SURE)).select("lang", F.lit("said").alias("kind"), F.col("word").alias("a"), F.lit("").alias("b"), said_rate.alias("value"))
     out = abbr
-    for part in (low, dig, start, lower, known, pair, said):
+    for part in (low, dig, begin, start, used, lower, known, pair, said):
         out = out.unionByName(part)
     return out
 
@@ -398,7 +423,7 @@ class Corpus:
 
     def __init__(self, tables: dict[str, dict[str, dict]]):
         self.tables, self.pooled = tables, tables.get("*", {})
-        self.home, self.begins = self._homes("known"), self._homes("start")
+        self.home, self.begins, self.used = self._homes("known"), self._homes("begin"), self._homes("used")
         self.models = {code: Model(held, self) for code, held in tables.items() if code not in ("*", "und")}
         self.plain = Model({}, self)
 
@@ -435,7 +460,10 @@ def sentence_ends(text: str, begin: int, end: int, model: Model) -> Iterator[int
 
 
 def _starts(model: Model, word: str) -> bool:
-    return model.has("start", word)
+    """Whether a word is a starter of the language or, if most uses of the word are in another one, of that one."""
+    own, every = (held.get("used", {}).get((word, ""), 0.0) for held in (model.own, model.pooled))
+    held = model.own if own and own >= 0.1 * every else model.corpus.tables.get(model.corpus.used.get(word, "*"), {})
+    return (word, "") in held.get("start", ())
 
 
 def _ends(text: str, stop: Stop, opened: int, model: Model) -> bool:
@@ -516,13 +544,13 @@ def _ends(text: str, stop: Stop, opened: int, model: Model) -> bool:
             return model.has("own", word) and model.value("own", word) >= 0.2 and not model.pair(kind, word)
         if model.type("low", kind):
             return model.value("own", word) >= 0.1 and not model.pair(kind, word)
-        return model.has("own", word) or model.value("start", word) > 0
+        return model.has("own", word) or _starts(model, word)
     if case == "D":
         if number:
             ahead = text[stop.at : stop.at + 5]
             return not re.match(r"\d{1,2}\.|\d{4}\b", ahead) or len(left) > 2
         if short or model.type("dig", kind):
-            return not (model.type("dig", kind) or initial or not model.has("start", "D:##number##"))
+            return not (model.type("dig", kind) or initial or not model.has("begin", "D:##number##"))
         return True
     if model.pair(kind, word) and (short or number or model.type("dig", kind) or model.type("low", kind)):
         return False

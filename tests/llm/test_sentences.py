@@ -67,3 +67,17 @@ def test_rows(spark):
     got = sorted((r["doc_id"] or 0, r["sent_start"], r["sent_end"]) for r in sentences(df).collect())
     assert got == [(0, 0, 4), (1, 0, 4), (1, 0, 4), (1, 5, 9), (1, 5, 9)]
     assert sentences(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("times", [1, 8])
+def test_starters_by_ratio_not_count(spark, times):
+    texts = (["Vorland came by."] * 2 + ["We saw Vorland. They met Vorland near Vorland Hall."] * 20 + ["It was late.\n\nIt was kept."] * 12 + ["第92张很好。我们再看第8组。"] * 3) * times
+    rows = [(i, t, "de" if i % 5 == 4 else "en") for i, t in enumerate(texts)]
+    held = {}
+    for r in learn(corpus_counts(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "text", "lang")).collect():
+        held.setdefault(r["lang"], {}).setdefault(r["kind"], {})[r["a"], r["b"]] = r["value"]
+    starts = {lang: {a for a, _ in tables.get("start", {})} for lang, tables in held.items()}
+    assert "U:it" in starts["en"] and not any("U:vorland" in words for words in starts.values())
+    corpus = Corpus(held)
+    text = "We saw K. Vorland there. It was late."
+    assert [text[a:b] for a, b in split(text, corpus.model("en", text))] == ["We saw K. Vorland there.", "It was late."]
