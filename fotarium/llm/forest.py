@@ -1,12 +1,12 @@
-"""Problem 2: new batches against everything accepted before, by a prefix-tree hash forest.
+"""Problem 2: new batches against everything accepted before, in the form of a hash forest.
 
 The forest keeps two signature permutations of every accepted record as sorted tables:
 tree `content` starts with the digest, tree `name` with a hash of camera name and size. A batch
-entry is located by a range search: all postings whose label begins with a prefix of its own
-lie next to each other. Prefixes are widened (shortened) until the range is sure to hold every
-duplicate: recall 1. Exact comparison of what the hash stands for verifies the range. Accepted
-records become a new sorted run; runs merge when there are many. History is never re-read:
-postings are one row per distinct label, not per record."""
+entry finds its postings by an equi-join on the exact key (the digest, or name and size) and a
+prefix of the label, which follows from the key: recall 1, but no range of a run is searched, the
+order of the runs is not used, and no prefix is widened. Accepted records become a new sorted run;
+runs merge when there are many. Every admit() reads, filters and groups all postings (one row per
+distinct label, digest, name and size: about one per record and tree) and all digest sizes again."""
 
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from fotarium.operators.ranges import partitions_for
 from fotarium.session import materialize, only
 
-#: Prefix widths in hex digits, from narrow ranges to wide ones.
+#: Prefix widths in hex digits, from narrow to wide; a tree always uses the first that WHOLE allows.
 WIDTHS = (32, 16)
 #: For each tree, the widest prefix that is part of its first component only: up to it, equal first
 #: components mean equal prefixes, so the range holds every duplicate.
