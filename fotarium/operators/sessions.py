@@ -69,6 +69,8 @@ def stream_sessions(events: DataFrame, key: str, at: str, gap: str = "1200 secon
     """The same as a stream (append mode): Spark's session state merges the intervals of each key
     and emits a session once the watermark, `late` behind the newest event, has passed its end.
 
-    An event exactly one gap after the one before joins its session, as in the batch form."""
+    An event exactly one gap after the one before joins its session, as in the batch form. Unlike
+    there, events behind the watermark are lost without a trace, and an event delivered again counts
+    again: callers drop repeated ids before, and run the batch form where every event must count."""
     found = events.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("w"), F.col(key)).agg(F.min(at).alias("start_at"), F.max(at).alias("end_at"), F.count(F.lit(1)).alias("n"))
     return found.select(key, "start_at", "end_at", "n")
