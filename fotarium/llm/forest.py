@@ -1,30 +1,44 @@
-"""Problem 2: new batches against everything accepted before, in the form of a hash forest.
-
-The forest keeps two signature permutations of every accepted record as sorted tables:
-tree `content` starts with the digest, tree `name` with a hash of camera name and size. A batch
-entry finds its postings by an equi-join on the exact key (the digest, or name and size) and a
-prefix of the label, which follows from the key: recall 1, but no range of a run is searched, the
-order of the runs is not used, and no prefix is widened. Accepted records become a new sorted run;
-runs merge when there are many. Every admit() reads, filters and groups all postings (one row per
-distinct label, digest, name and size: about one per record and tree) and all digest sizes again."""
+"""Problem 2: new batches against everything accepted before, by a persisted hash forest.
+
+The forest keeps signature permutations of every accepted record as sorted runs of files: tree
+`content` starts with the digest and goes on with camera name and size, tree `name` the other way
+round; tree `sizes` holds the sizes each digest was seen with. A small index has the first and last
+label of every file. A batch locates its entries by range: the prefix of an entry's label is a range
+of labels, the index tells which files it touches, only these are read (and of them only the pages
+of the ranges, where the entries are few), and rows in a range are verified on the exact keys.
+Prefixes are widened from the whole label to the first component alone until the recall measured
+on a sample of the batch reaches the target; a target of 1 takes the width that provably holds all.
+Accepted records become a new run; runs of one tier merge into one of the next. The rest of the
+history is not read. Versions are written before they are used, so load() finds the last whole one."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import bisect
+import json
+import uuid
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from fotarium.operators.ranges import partitions_for
-from fotarium.session import materialize, only
 
-#: Prefix widths in hex digits, from narrow to wide; a tree always uses the first that WHOLE allows.
-WIDTHS = (32, 16)
-#: For each tree, the widest prefix that is part of its first component only: up to it, equal first
-#: components mean equal prefixes, so the range holds every duplicate.
-WHOLE = {"content": 64, "name": 16}
-MAX_RUNS = 4
+from fotarium.session import materialize, only, shared_dir
+
+#: Prefix widths of labels, from narrow ranges to wide ones; a label has two components of 16 hex digits.
+WIDTHS = (32, 24, 16)
+#: The width at which a tree's range holds every duplicate: its first component follows from the exact key.
+COMPLETE = {"content": 16, "name": 16, "sizes": 64}
+EXACT = {"content": ["digest"], "name": ["name", "size"], "sizes": ["digest"]}
+#: Probes on which the recall of a width is measured, at most.
+SAMPLE = 256
+#: Up to so many ranges are pushed into the scan as filters on the label.
+PUSHED = 32
+#: Runs of a tier that are merged into one of the next.
+FAN = 4
+ROWS_A_FILE = 1_000_000
+POSTING = "label string, digest string, name string, size bigint, id bigint, low bigint, high bigint"
 
 # The marks that copying tools put before and after a file's stem.
 MARKS_BEFORE = r"^(copy of|kopie von|copie de|copia de|copia di|kopia av) +"
@@ -61,108 +75,283 @@ def _hex(*cols: Column) -> Column:
     return F.lpad(F.lower(F.hex(F.xxhash64(*cols))), 16, "0")
 
 
+def _label(tree: str, digest_: Column) -> Column:
+    """The label of a record in a tree; null where its first component is."""
+    none = F.lit("-" * 16)
+    named = F.when(F.col("name").isNotNull() & F.col("size").isNotNull(), _hex("name", "size"))
+    own = F.substring(digest_, 1, 16)
+    return F.concat(own, F.coalesce(named, none)) if tree == "content" else F.concat(named, F.coalesce(own, none))
+
+
 def _digest_sizes(recs: DataFrame) -> DataFrame:
     """(digest, low, high): the least and the greatest size of the records a digest stands on."""
     held = recs.select("size", F.explode(F.array("d1", "d2")).alias("digest")).filter(F.col("digest").isNotNull())
     return held.groupBy("digest").agg(F.min("size").alias("low"), F.max("size").alias("high"))
 
 
-def _postings(recs: DataFrame) -> DataFrame:
-    """(tree, label, digest, name, size, id): the least id of each distinct label in both trees."""
-    named = F.when(F.col("name").isNotNull() & F.col("size").isNotNull(), _hex("name", "size"))
-    each = F.array(
-        F.struct(F.lit("content").alias("tree"), F.concat("d1", F.coalesce(named, F.lit("-"))).alias("label"), F.col("d1").alias("digest")),
-        F.struct(F.lit("content").alias("tree"), F.concat("d2", F.coalesce(named, F.lit("-"))).alias("label"), F.col("d2").alias("digest")),
-        F.struct(F.lit("name").alias("tree"), F.concat(named, F.coalesce(F.substring("d1", 1, 16), F.lit("-"))).alias("label"), F.col("d1").alias("digest")),
-    )
+def _postings(recs: DataFrame, sizes: DataFrame | None) -> DataFrame:
+    """(tree, POSTING) of accepted records, and of the sizes of the digests seen."""
+    each = F.array(*[F.struct(F.lit(t).alias("tree"), _label(t, F.col(d)).alias("label"), F.col(d).alias("digest")) for t, d in (("content", "d1"), ("content", "d2"), ("name", "d1"))])
     flat = recs.select("id", "name", "size", F.inline(each)).filter(F.col("label").isNotNull())
-    return flat.groupBy("tree", "label", "digest", "name", "size").agg(F.min("id").alias("id"))
+    none = F.lit(None).cast("bigint")
+    out = flat.select("tree", "label", "digest", "name", "size", "id", none.alias("low"), none.alias("high"))
+    if sizes is not None:
+        out = out.unionByName(sizes.select(F.lit("sizes").alias("tree"), F.col("digest").alias("label"), "digest", F.lit(None).cast("string").alias("name"), none.alias("size"), none.alias("id"), "low", "high"))
+    return out
+
 
+def _folded(postings: DataFrame) -> DataFrame:
+    """Equal postings as one: the least id, the widest size bounds."""
+    return postings.groupBy("tree", "label", "digest", "name", "size").agg(F.min("id").alias("id"), F.min("low").alias("low"), F.max("high").alias("high"))
 
-def _sorted_run(postings: DataFrame, label: str) -> DataFrame:
-    parts = partitions_for(postings.sparkSession)
-    return materialize(postings.repartitionByRange(parts, "tree", "label").sortWithinPartitions("tree", "label"), label)
+
+@dataclass(frozen=True)
+class File:
+    """One file of a sorted run, with its first and last label."""
+
+    run: str
+    tier: int
+    tree: str
+    file: str
+    first: str
+    last: str
+    rows: int
 
 
 @dataclass(frozen=True)
 class HashForest:
-    """Postings of all accepted records, in sorted runs, with the size bounds of all digests seen."""
+    """All accepted records under `path`. `measured` has, of the last batch, the recall of each width
+    by tree; `read` the (files, rows of these files) of each search."""
 
     spark: SparkSession
-    runs: list[DataFrame] = field(default_factory=list)
-    sizes: list[DataFrame] = field(default_factory=list)
+    path: str
+    version: int = 0
+    files: tuple[File, ...] = ()
+    measured: dict = field(default_factory=dict, compare=False)
+    read: list = field(default_factory=list, compare=False)
+
+    # --- storing -----------------------------------------------------------------------------
 
     @classmethod
-    def of(cls, history: DataFrame) -> HashForest:
-        """The forest of records that are all accepted, as records() gives them."""
-        empty = cls(history.sparkSession)
-        return empty._grown(history, history)
-
-    def _grown(self, accepted: DataFrame, seen: DataFrame) -> HashForest:
-        runs = [*self.runs, _sorted_run(_postings(accepted), "run")]
-        sizes = [*self.sizes, materialize(_digest_sizes(seen), "sizes")]
-        if len(runs) > MAX_RUNS:
-            merged = self._all(runs).groupBy("tree", "label", "digest", "name", "size").agg(F.min("id").alias("id"))
-            runs, sizes = [_sorted_run(merged, "run")], [materialize(self._bounds(sizes), "sizes")]
-        return HashForest(self.spark, runs, sizes)
-
-    @staticmethod
-    def _all(tables: list[DataFrame]) -> DataFrame:
-        out = tables[0]
-        for t in tables[1:]:
-            out = out.unionByName(t)
-        return out
+    def of(cls, history: DataFrame, path: str | None = None, known: DataFrame | None = None) -> HashForest:
+        """The forest of records that are all accepted, as records() gives them, stored under `path` (a new
+        place in the shared folder by default). Digests of `known` records count with their sizes
+        though these aren't accepted."""
+        spark = history.sparkSession
+        empty = cls(spark, path or f"{shared_dir(spark)}/fotarium/forest-{uuid.uuid4().hex}")
+        sizes = _digest_sizes(history if known is None else history.unionByName(known))
+        sizes = materialize(sizes, "sizes")
+        postings = materialize(_folded(_postings(history, sizes)), "postings")
+        return empty._with_placeholders(sizes.filter("low < high").select("digest"))._grown(postings, postings.count())
 
     @classmethod
-    def _bounds(cls, sizes: list[DataFrame]) -> DataFrame:
-        return cls._all(sizes).groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-
-    def postings(self) -> DataFrame:
-        schema = "tree string, label string, digest string, name string, size bigint, id bigint"
-        return self._all(self.runs) if self.runs else self.spark.createDataFrame([], schema)
-
-    def ranges(self, tree: str, keys: DataFrame, false_digests: DataFrame) -> DataFrame:
-        """(key..., any_id, bare_id) of the batch's keys in one tree: the least id of all verified
-        postings in each key's range, and of those of them without a digest.
-
-        Both sides are one row per distinct key, so no hot key meets a hot key. The prefix is
-        the narrowest of WIDTHS that still holds every duplicate."""
-        width = next(w for w in WIDTHS if w <= WHOLE[tree])
-        exact = ["digest"] if tree == "content" else ["name", "size"]
-        runs = self.postings().filter(F.col("tree") == tree).join(false_digests.withColumn("false_", F.lit(True)), "digest", "left")
-        runs = runs.filter(F.col("false_").isNull()) if tree == "content" else runs.withColumn("digest", F.when(F.col("false_").isNull(), F.col("digest")))
+    def load(cls, spark: SparkSession, path: str) -> HashForest:
+        """The last whole version stored under `path`."""
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        place = jvm.org.apache.hadoop.fs.Path(f"{path}/index")
+        fs = place.getFileSystem(conf)
+        whole = [n for n in (s.getPath().getName() for s in (fs.listStatus(place) if fs.exists(place) else [])) if n.endswith(".json")]
+        if not whole:
+            raise FileNotFoundError(f"no forest in {path}")
+        last = max(whole)
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{path}/index/{last}"))
+        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return cls(spark, path, int(last[1:10]), tuple(File(**f) for f in json.loads(text)))
+
+    def _stored(self, files: tuple[File, ...]) -> HashForest:
+        forest = replace(self, version=self.version + 1, files=files)
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        name = f"{self.path}/index/v{forest.version:09d}"
+        place = jvm.org.apache.hadoop.fs.Path(f"{name}.part")
+        fs = place.getFileSystem(conf)
+        stream = fs.create(place, True)
+        stream.write(bytearray(json.dumps([asdict(f) for f in files]).encode()))  # a record a file
+        stream.close()
+        whole = jvm.org.apache.hadoop.fs.Path(f"{name}.json")
+        fs.delete(whole, False)
+        if not fs.rename(place, whole):
+            raise OSError(f"can't store {name}")
+        return forest
+
+    def _run(self, postings: DataFrame, rows: int, tier: int) -> list[File]:
+        """Write postings as a sorted run and return its files."""
+        run = uuid.uuid4().hex
+        cores = self.spark.sparkContext.defaultParallelism
+        parts = max(-(-rows // ROWS_A_FILE), min(cores, -(-rows // 50_000)), 1)
+        ordered = postings.repartitionByRange(parts, "tree", "label").sortWithinPartitions("tree", "label")
+        ordered.write.partitionBy("tree").parquet(f"{self.path}/runs/{run}")
+        if not rows:
+            return []
+        held = self.spark.read.schema(f"{POSTING}, tree string").parquet(f"{self.path}/runs/{run}")
+        seen = held.groupBy("tree", F.col("_metadata.file_path").alias("file")).agg(F.min("label").alias("first"), F.max("label").alias("last"), F.count(F.lit(1)).alias("rows"))
+        return [File(run, tier, r["tree"], r["file"], r["first"], r["last"], r["rows"]) for r in seen.collect()]  # a row a file
+
+    def _with_placeholders(self, digests: DataFrame) -> HashForest:
+        """The forest with more digests that stand on different sizes."""
+        held, rest = [f for f in self.files if f.tree == "placeholders"], self.files
+        if len(held) >= 2 * FAN:
+            digests, rest = digests.unionByName(self.placeholders()), tuple(f for f in self.files if f.tree != "placeholders")
+        place = f"{self.path}/placeholders/{uuid.uuid4().hex}"
+        digests.distinct().write.parquet(place)
+        return replace(self, files=(*rest, File("", 0, "placeholders", place, "", "", 0)))
+
+    def placeholders(self) -> DataFrame:
+        """(digest) of those that stand on records of different sizes and so count as none."""
+        places = [f.file for f in self.files if f.tree == "placeholders"]
+        held = self.spark.read.schema("digest string").parquet(*places)
+        return held.distinct() if len(places) > 1 else held
+
+    def _grown(self, postings: DataFrame, rows: int) -> HashForest:
+        new = self._run(postings, rows, 0) if rows else []
+        return self._stored(self._merged([*self.files, *new]))
+
+    def _merged(self, files: list[File]) -> tuple[File, ...]:
+        """Merge FAN runs of a tier into one of the next, as often as there are so many. A run's tier
+        starts from its size, so a large first run isn't merged with small ones."""
+        while True:
+            rows: dict[str, int] = {}
+            tiers: dict[str, int] = {}
+            for f in files:
+                if f.run:
+                    rows[f.run] = rows.get(f.run, 0) + f.rows
+                    tiers[f.run] = f.tier
+            tiers = {r: max(t, max(0, (rows[r] // 1000).bit_length() // 2)) for r, t in tiers.items()}
+            full = next((t for t in sorted(set(tiers.values())) if sum(x == t for x in tiers.values()) >= FAN), None)
+            if full is None:
+                return tuple(files)
+            gone = {r for r, t in tiers.items() if t == full}
+            parts = [self._read([f for f in files if f.run in gone and f.tree == t]).withColumn("tree", F.lit(t)) for t in EXACT if any(f.run in gone and f.tree == t for f in files)]
+            merged = materialize(_folded(reduce(DataFrame.unionByName, parts)), "merged")
+            files = [*[f for f in files if f.run not in gone], *self._run(merged, sum(rows[r] for r in gone), full + 1)]
+
+    # --- searching ---------------------------------------------------------------------------
+
+    def _read(self, files: list[File]) -> DataFrame:
+        return self.spark.read.schema(POSTING).parquet(*[f.file for f in files])
+
+    def _touched(self, tree: str, prefixes: DataFrame | list[str], width: int) -> list[File]:
+        """The files of a tree that the ranges of the prefixes (column `at`, or a short list) touch. Runs
+        are searched by bisection on their files' bounds."""
+        runs: dict[str, list[File]] = {}
+        for f in self.files:
+            if f.tree == tree:
+                runs.setdefault(f.run, []).append(f)
+        held = [sorted(fs, key=lambda f: f.first) for fs in runs.values()]
+        bounds = [([f.first[:width] for f in fs], [f.last[:width] for f in fs]) for fs in held]
+        starts = [sum(len(fs) for fs in held[:i]) for i in range(len(held))]
+
+        def locate(at: str) -> Iterator[int]:
+            for base, (first, last) in zip(starts, bounds, strict=True):
+                yield from range(base + bisect.bisect_left(last, at), base + bisect.bisect_right(first, at))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for batch in batches:
+                for at in batch.column(0).to_pylist():
+                    seen.update(locate(at))
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.int32())], names=["n"])
+
+        flat = [f for fs in held for f in fs]
+        if isinstance(prefixes, list):
+            return [flat[n] for n in sorted({n for at in prefixes for n in locate(at)})]
+        numbers = prefixes.select("at").mapInArrow(run, "n int").distinct().collect()  # at most a row a file
+        return [flat[r["n"]] for r in numbers]
+
+    def ranges(self, tree: str, probes: DataFrame, width: int, drawn: list[str] | None = None) -> DataFrame | None:
+        """All postings in the ranges of the probes (EXACT keys, `at`: a prefix of `width`) that pass the
+        exact check, beside the probe; null if no file is touched. Probes are one row per distinct
+        key and prefix, so no hot key meets a hot key. `drawn`: all prefixes, where they are a sample."""
+        few = drawn or sorted({r["at"] for r in probes.select("at").distinct().limit(PUSHED + 1).collect()})
+        files = self._touched(tree, few if drawn or len(few) <= PUSHED else probes, width)
+        self.read.append((tree, len(files), sum(f.rows for f in files)))
+        if not files:
+            return None
+        rows = self._read(files)
+        if len(few) <= PUSHED:
+            rows = rows.filter(reduce(Column.__or__, [F.col("label").between(at, at + "~") for at in few]))
+        asked = probes.withColumnsRenamed({c: f"p_{c}" for c in (*EXACT[tree], "label") if c in probes.columns})
+        met = rows.join(asked, F.substring("label", 1, width) == F.col("at"))
+        for c in EXACT[tree]:
+            met = met.filter(F.col(c) == F.col(f"p_{c}"))
+        return met.drop(*[f"p_{c}" for c in EXACT[tree]])
+
+    def _least(self, tree: str, met: DataFrame, false_: DataFrame, keys: list[str]) -> DataFrame:
+        """(keys, any_id, bare_id): the least id of the postings met, and of those without a digest."""
+        if tree == "name":
+            met = met.join(false_.select("digest", F.lit(True).alias("false_")), "digest", "left")
+            met = met.withColumn("digest", F.when(F.col("false_").isNull(), F.col("digest")))
         bare = F.when(F.col("digest").isNull(), F.col("id"))
-        found = runs.groupBy(F.substring("label", 1, width).alias("range_"), *exact).agg(F.min("id").alias("any_id"), F.min(bare).alias("bare_id"))
-        start = F.col("digest") if tree == "content" else _hex("name", "size")
-        asked = keys.select(*exact).distinct().withColumn("range_", F.substring(start, 1, width))
-        return asked.join(found, ["range_", *exact]).drop("range_")
-
-    def admit(self, batch: DataFrame) -> tuple[DataFrame, HashForest]:
+        return met.groupBy(*keys).agg(F.min("id").alias("any_id"), F.min(bare).alias("bare_id"))
+
+    def widened(self, tree: str, labels: DataFrame, target: float) -> int:
+        """The prefix width to search with: the narrowest whose recall, measured on up to SAMPLE entries (exact
+        keys, `label`) against the complete range, reaches `target`. A sample can't prove a recall of
+        1: a target of 1 ends at the complete width."""
+        complete = COMPLETE[tree]
+        drawn = {tuple(r) for r in labels.orderBy(F.xxhash64("label"), "label").limit(SAMPLE).collect()}
+        sample = self.spark.createDataFrame(sorted(drawn), labels.schema).withColumn("at", F.substring("label", 1, complete))
+        met = self.ranges(tree, sample, complete, sorted({r[-1][:complete] for r in drawn})) if drawn else None
+        recall: dict[int, float] = {}
+        if met is not None:
+            best = [F.min(F.when(F.substring("label", 1, w) == F.substring("p_label", 1, w), F.col("id"))).alias(f"w{w}") for w in WIDTHS]
+            found = met.groupBy("p_label").agg(*best)
+            right = found.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f"w{w}") == F.col(f"w{complete}")).alias(f"w{w}") for w in WIDTHS]).first()
+            recall = {w: right[f"w{w}"] / right["n"] for w in WIDTHS} if right["n"] else {}
+        self.measured[tree] = recall
+        return next((w for w in WIDTHS if w == complete or (target < 1 and recall.get(w, 0.0) >= target)), complete)
+
+    def _search(self, tree: str, written: DataFrame, rows: DataFrame, false_: DataFrame, target: float, names: tuple[str, str]) -> DataFrame:
+        """`rows` with the least id of the postings that each meets in a tree, as `names`; `written` are
+        the same rows as a table that is cheap to read again."""
+        label = _label(tree, F.col("digest"))
+        if not any(f.tree == tree for f in self.files):
+            return rows.withColumns({n: F.lit(None).cast("bigint") for n in names})
+        labels = written.select(*EXACT[tree], label.alias("label")).filter(F.col("label").isNotNull())
+        width = self.widened(tree, labels, target)
+        met = self.ranges(tree, labels.select(*EXACT[tree], F.substring("label", 1, width).alias("at")).distinct(), width)
+        if met is None:
+            return rows.withColumns({n: F.lit(None).cast("bigint") for n in names})
+        least = self._least(tree, met, false_, [*EXACT[tree], "at"]).withColumnsRenamed({"any_id": names[0], "bare_id": names[1]})
+        return rows.withColumn("at", F.substring(label, 1, width)).join(least, [*EXACT[tree], "at"], "left").drop("at")
+
+    def admit(self, batch: DataFrame, target: float = 1.0, sizes_known: bool = False) -> tuple[DataFrame, HashForest]:
         """((seen_id, new_id) of the batch's duplicates, the forest with the rest accepted).
 
         `batch` is as records() gives it and is taken in the order of its ids: a record is accepted
-        if it duplicates no record of the forest and none accepted before it in the batch. Two
-        records are duplicates if the new one's digest d1 is the other's d1 or d2, or if one of
-        the two has no d1, sizes are equal and camera names are. A digest that stands on records of
-        different sizes counts as none. Ids that occur again with other values are taken
-        as so many records."""
-        sizes = [*self.sizes, _digest_sizes(batch)]
-        false_digests = materialize(self._bounds(sizes).filter(F.col("low") < F.col("high")).select("digest"), "false-digests")
-        rows = batch.select("id", "size", "name", F.col("d1").alias("digest")).join(false_digests.withColumn("false_", F.lit(True)), "digest", "left")
+        if it duplicates no record of the forest and none accepted before it in the batch; so
+        several successive batches can be taken as one. Two records are duplicates if the new
+        one's digest d1 is the other's d1 or d2, or if one of the two has no d1, sizes are equal
+        and camera names are. A digest that stands on records of different sizes, as far as seen,
+        counts as none. Ids that occur again with other values are taken as so many records.
+        Of the history, only files in the ranges of the batch are read. `target` below 1 allows
+        narrower ranges and so fewer rows. `sizes_known`: the batch was in `known` of of()."""
+        forest, sizes = replace(self, measured={}, read=[]), None
+        if not sizes_known:
+            sizes = materialize(_digest_sizes(batch), "sizes")
+            forest = forest._with_bounds(sizes)
+        false_ = forest.placeholders()
+        rows = batch.select("id", "size", F.when(F.col("size").isNotNull(), F.col("name")).alias("name"), F.col("d1").alias("digest"))
+        rows = rows.join(false_.select("digest", F.lit(True).alias("false_")), "digest", "left")
         rows = rows.withColumn("digest", F.when(F.col("false_").isNull(), F.col("digest"))).drop("false_")
-        rows = rows.withColumn("name", F.when(F.col("size").isNotNull(), F.col("name")))
-        content = self.ranges("content", rows.filter(F.col("digest").isNotNull()), false_digests).select("digest", F.col("any_id").alias("c_id"))
-        names = self.ranges("name", rows.filter(F.col("name").isNotNull()), false_digests)
-        held = rows.join(content, "digest", "left").join(names, ["name", "size"], "left")
-        old = F.least("c_id", F.when(F.col("digest").isNull(), F.col("any_id")).otherwise(F.col("bare_id")))
-        state = materialize(held.select("id", "size", "name", "digest", old.alias("old_id")).withColumn("state", F.when(F.col("old_id").isNotNull(), "seen").otherwise("open")), "state")
-        while not state.filter("state = 'open'").isEmpty():
-            state = materialize(_settle(state), "state")
-        found = _with_least(state.filter("state = 'seen'"), state.filter("state = 'new'"), "acc")
+        rows = materialize(rows, "batch")
+        held = forest._search("content", rows, rows, false_, target, ("c_id", "c_bare"))
+        held = forest._search("name", rows, held, false_, target, ("n_id", "b_id"))
+        old = F.least("c_id", F.when(F.col("digest").isNull(), F.col("n_id")).otherwise(F.col("b_id")))
+        held = materialize(held.select("id", "size", "name", "digest", old.alias("old_id")), "held")
+        new = _settled(held)
+        found = _with_least(held, new, "acc")
         least = F.least("old_id", F.when(F.col("acc") < F.col("id"), F.col("acc")))
-        found = found.groupBy(F.col("id").alias("new_id")).agg(F.min(least).alias("seen_id")).select("seen_id", "new_id")
-        fresh = state.filter("state = 'new'").select("id", "size", F.col("digest").alias("d1"), F.lit(None).cast(T.StringType()).alias("d2"), "name")
-        return found, self._grown(fresh, batch)
+        found = materialize(found.groupBy(F.col("id").alias("new_id")).agg(F.min(least).alias("seen_id")).filter("seen_id is not null").select("seen_id", "new_id"), "found")
+        fresh = new.select("id", "size", F.col("digest").alias("d1"), F.lit(None).cast("string").alias("d2"), "name")
+        return found, forest._grown(_postings(fresh, sizes), 2 * fresh.count() + (0 if sizes is None else sizes.count()))
+
+    def _with_bounds(self, sizes: DataFrame) -> HashForest:
+        """The forest with the digests that the batch shows on another size than any record before."""
+        met = self.ranges("sizes", sizes.select("digest", F.col("digest").alias("at")), 64) if any(f.tree == "sizes" for f in self.files) else None
+        every = sizes if met is None else sizes.unionByName(met.select("digest", "low", "high"))
+        every = every.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        return self._with_placeholders(every.filter("low < high").select("digest"))
 
 
 def _with_least(rows: DataFrame, others: DataFrame, out: str) -> DataFrame:
@@ -174,15 +363,43 @@ def _with_least(rows: DataFrame, others: DataFrame, out: str) -> DataFrame:
     return rows.withColumn(out, least).drop("d_", "n_", "b_")
 
 
-def _settle(state: DataFrame) -> DataFrame:
-    """One round of deciding a batch among itself: an open record with an accepted duplicate before it
-    is seen; one without an open duplicate before it is new; others wait.
-
-    Every round settles at least the first open record of each chain, so rounds end; their number is
-    the length of the longest chain of records each of which waits for the one before."""
-    open_ = state.filter("state = 'open'")
-    open_ = _with_least(open_, state.filter("state = 'new'"), "acc")
-    open_ = _with_least(open_, state.filter("state = 'open'"), "wait")
-    now = F.when(F.col("acc") < F.col("id"), "seen").when(F.col("wait") < F.col("id"), "open").otherwise("new")
-    settled = open_.withColumn("state", now).drop("acc", "wait")
-    return state.filter("state <> 'open'").unionByName(settled)
+def _settled(held: DataFrame) -> DataFrame:
+    """(id, size, name, digest) of the accepted ones of a batch, of records equal in all but the id only the
+    first, and of those without a digest and a name none: nothing can duplicate them.
+
+    Each round accepts the records without an open duplicate before them, drops those that duplicate
+    one of these, and goes on with the open rest alone: settled rows are not written again. Rounds
+    are as many as the longest chain of records each of which waits for the one before."""
+    open_ = held.groupBy("digest", "name", "size").agg(F.min("id").alias("id"), F.min("old_id").alias("old_id"))
+    open_ = open_.filter(F.col("old_id").isNull() & (F.col("digest").isNotNull() | F.col("name").isNotNull())).drop("old_id")
+    open_, accepted = materialize(open_, "open"), []
+    while not accepted or not open_.isEmpty():
+        flagged = materialize(_with_least(open_, open_, "wait").withColumn("wait", F.coalesce(F.col("wait") < F.col("id"), F.lit(False))), "waiting")
+        now = flagged.filter("not wait").drop("wait")
+        if flagged.filter("wait").isEmpty():
+            return reduce(DataFrame.unionByName, [*accepted, now]).select("id", "size", "name", "digest")
+        rest = _with_least(flagged.filter("wait").drop("wait"), now, "acc")
+        accepted.append(now)
+        open_ = materialize(rest.filter(F.col("acc").isNull() | (F.col("acc") > F.col("id"))).drop("acc"), "open")
+    return reduce(DataFrame.unionByName, accepted).select("id", "size", "name", "digest")
+
+
+def admit_batches(forest: HashForest, recs: DataFrame, starts: list[int], sizes_known: bool = False) -> tuple[DataFrame, HashForest]:
+    """((seen_id, new_id), forest) after all batches, in order of id. `starts` has the first id of each
+    batch. Batches are taken in blocks of one, four, sixteen and so on, so that their number costs only
+    its logarithm in jobs and each record is merged as often; a block gives what its batches would."""
+    starts, blocks, at = sorted(set(starts)), [], 0
+    while at < len(starts):
+        upto = at + 4 ** len(blocks)
+        blocks.append((starts[at] if at else None, starts[upto] if upto < len(starts) else None))
+        at = upto
+    parts = []
+    for low, high in blocks or [(None, None)]:
+        block = recs
+        if low is not None:
+            block = block.filter(F.col("id") >= low)
+        if high is not None:
+            block = block.filter(F.col("id") < high)
+        found, forest = forest.admit(block, sizes_known=sizes_known)
+        parts.append(found)
+    return reduce(DataFrame.unionByName, parts), forest

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fotarium.llm.forest import HashForest, records
+from fotarium.llm.forest import HashForest, admit_batches, records
 from fotarium.llm.packing import fill, pack_texts
 from fotarium.llm.sentences import sentences
 from fotarium.llm.sql import SQL  # noqa: F401
 from fotarium.llm.terms import keyword_terms
 from fotarium.llm.tokens import token_ids
-from fotarium.session import table
+from fotarium.session import materialize, table
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
@@ -23,8 +23,11 @@ def p1_terms(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
-    forest = HashForest.of(records(table(spark, base, "manifest"), "entry_id", file_digest=True))
-    return forest.admit(records(table(spark, base, "card_files"), "file_id", file_digest=False))[0]
+    cards = table(spark, base, "card_files")
+    new = materialize(records(cards, "file_id", file_digest=False), "card-records")
+    old = materialize(records(table(spark, base, "manifest"), "entry_id", file_digest=True), "manifest-records")
+    starts = [r["start"] for r in cards.filter("file_id is not null").groupBy("batch_no").agg(F.min("file_id").alias("start")).collect()]  # a row a batch
+    return admit_batches(HashForest.of(old, known=new), new, starts, sizes_known=True)[0]
 
 
 def p6_ids(spark: SparkSession, base: str) -> DataFrame:
