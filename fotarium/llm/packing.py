@@ -26,9 +26,12 @@ from fotarium.operators.ranges import with_rank
 from fotarium.session import materialize, only
 
 GROUPS = 48
+#: Most rows of the histograms of lengths that planning takes: the capacities in sum.
+MOST_LENGTHS = 10_000_000
 #: Lengths above this share of the capacity are large.
 LARGE = 0.1
-ROUNDS = 600
+#: Rounds without progress, in numbers of lengths, after which the programme counts as solved.
+STALLED = 20
 
 
 def best_configuration(worth: np.ndarray, weight: np.ndarray, capacity: int) -> np.ndarray:
@@ -63,7 +66,9 @@ def configurations(weight: np.ndarray, demand: np.ndarray, capacity: int) -> lis
     columns = np.diag(capacity // weight).astype(float)
     price = np.ones(k)
     amount = demand / np.diag(columns)
-    for _ in range(ROUNDS):
+    least, since = np.inf, 0
+    while since <= STALLED * k:  # until no column helps; a cycle of equally good bases ends too
+        least, since = (price @ amount, 0) if price @ amount < least - 1e-9 else (least, since + 1)
         dual = np.linalg.solve(columns.T, price)
         if dual.min() < -1e-9:
             new, cost = np.zeros(k), 0.0
@@ -232,11 +237,15 @@ def pack(sized: DataFrame, packs: DataFrame, doc_id: str = "doc_id") -> DataFram
     capacity = {r["pack_id"]: int(r["capacity_tokens"]) for r in known if r["pack_id"] is not None and (r["capacity_tokens"] or 0) > 0}
     if len(capacity) < sum(1 for r in known if r["pack_id"] is not None and (r["capacity_tokens"] or 0) > 0):
         raise ValueError("a pack_id with several capacities")
+    if sum(capacity.values()) > MOST_LENGTHS:
+        raise ValueError(f"capacities of over {MOST_LENGTHS} tokens in all")
     kind = packs.schema["pack_id"].dataType.simpleString()
     cut = pieces(sized, capacity or {None: 1}, kind, doc_id)
     if not capacity:
         cut = cut.limit(0)
-    ranked = with_rank(cut.withColumn("_less", -F.col("n_tokens")), ["_less", "doc_id", "part"], "pieces", "_rank", ["pack_id"]).drop("_less")
+    # repeated ids, null ones too, are told apart by their place, so that they spread over partitions
+    placed = cut.withColumns({"_less": -F.col("n_tokens"), "_place": F.monotonically_increasing_id()})
+    ranked = with_rank(placed, ["_less", "doc_id", "part", "_place"], "pieces", "_rank", ["pack_id"]).drop("_less", "_place")
     histograms: dict = {p: {} for p in capacity}
     for r in cut.groupBy("pack_id", "n_tokens").count().collect():  # at most capacity + 1 rows a pack
         histograms[r["pack_id"]][r["n_tokens"]] = r["count"]

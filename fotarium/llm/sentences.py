@@ -36,6 +36,9 @@ PARTICLES = "とはがをにでのもや"  # Japanese ones that go on after a qu
 SURE = 7.88
 #: Score from which a type counts as an abbreviation.
 ABBREVIATION = 0.3
+#: Words, types and pairs that make up less than this share of a language's events of their kind are left
+#: out of the model, which every worker loads: at most 1 / MODEL_SHARE rows a language and kind.
+MODEL_SHARE = 1e-6
 #: Followers of a type from which a language's own pairs count instead of those of all languages.
 KNOWN = 5
 
@@ -55,9 +58,13 @@ _CLITIC = re.compile(r"['’](?:s|ll|d|ve|re|m)$")
 _DIGITS = re.compile(r"\d+")
 
 
-@lru_cache(maxsize=100_000)
 def kind_of(word: str) -> str:
     """The type of a word: composed, lower-case, with numbers, file names and digits in words generalised."""
+    return _kind_of(word) if len(word) <= 80 else _kind_of.__wrapped__(word)  # long ones would fill the cache
+
+
+@lru_cache(maxsize=100_000)
+def _kind_of(word: str) -> str:
     if not word.isascii():
         word = unicodedata.normalize("NFC", word)
     if _NUMBER.match(word):
@@ -95,8 +102,13 @@ def word_at(text: str, at: int, end: int) -> tuple[str, str, int]:
 
 def word_before(text: str, stop: int, begin: int) -> str:
     """The run of characters before a stop that has no blank, without marks around it."""
-    near = text[max(begin, stop - 80) : stop]
-    token = "" if not near or near[-1].isspace() else near.split()[-1]
+    reach = 80
+    while True:  # back to a blank or a mark that cuts, however far it is
+        near = text[max(begin, stop - reach) : stop]
+        token = "" if not near or near[-1].isspace() else near.split()[-1]
+        if len(token) < len(near) or stop - reach <= begin or _CUT.search(token.rstrip("*_`\"”’»")):
+            break
+        reach *= 4
     token = token.lstrip("([{\"“„«‘'*_`（「『《【¡¿<~@#").rstrip("*_`\"”’»")
     return token if token.isalnum() and token.isascii() else _CUT.split(token)[-1]
 
@@ -104,27 +116,36 @@ def word_before(text: str, stop: int, begin: int) -> str:
 def enclosed(text: str, begin: int, end: int) -> list[tuple[int, int]]:
     """Outermost pairs of quotes and brackets in a unit; marks without a partner don't count."""
     stack: list[tuple[str, int]] = []
+    places: dict[str, list[int]] = {c: [] for c in (*OPEN, '"')}  # of each opening mark in the stack
     pairs: list[tuple[int, int]] = []
+
+    def close(at: int, i: int) -> None:
+        pairs.append((stack[at][1], i))
+        for x, _ in stack[at:]:
+            places[x].pop()
+        del stack[at:]
+
+    def open_(c: str, i: int) -> None:
+        places[c].append(len(stack))
+        stack.append((c, i))
+
     for m in _PAIRED.finditer(text, begin, end):
         c, i = m.group(), m.start()
         if c == '"':
-            if any(x == '"' for x, _ in stack):
-                at = max(k for k, (x, _) in enumerate(stack) if x == '"')
-                pairs.append((stack[at][1], i))
-                del stack[at:]
+            if places[c]:
+                close(places[c][-1], i)
             elif i + 1 < end and not text[i + 1].isspace():
-                stack.append((c, i))
+                open_(c, i)
             continue
-        at = next((k for k in range(len(stack) - 1, -1, -1) if OPEN.get(stack[k][0]) == c or (stack[k][0] == "„" and c == "”") or (stack[k][0] == "“" and c == "”")), None)
+        at = max((places[o][-1] for o in _OPENERS.get(c, ()) if places[o]), default=None)
         if c in "’‘" and at is None and c == "’":
             continue
         if c == "’" and i + 1 < end and text[i + 1].isalpha():
             continue
         if at is not None and not (c in "“«" and stack[at][0] not in "„»"):
-            pairs.append((stack[at][1], i))
-            del stack[at:]
+            close(at, i)
         elif c in OPEN and not (c == "‘" and i > begin and text[i - 1].isalnum()):
-            stack.append((c, i))
+            open_(c, i)
     out: list[tuple[int, int]] = []
     for a, b in sorted(pairs):
         if not out or a > out[-1][1]:
@@ -132,6 +153,7 @@ def enclosed(text: str, begin: int, end: int) -> list[tuple[int, int]]:
     return out
 
 
+_OPENERS = {c: [o for o, x in OPEN.items() if x == c or (o in "„“" and c == "”")] for c in {*OPEN.values(), "”"}}
 _PAIRED = re.compile("[" + re.escape("".join(sorted(set(OPEN) | set(OPEN.values()) | {'"'}))) + "]")
 
 
@@ -241,7 +263,7 @@ def count_text(text: str, counts: Counter) -> None:
     that ends in a stop. `p` with right '' is a period at the end of a unit. (`w` and `c`, all words, are
     counted by corpus_counts().)"""
     for m in _PERIOD.finditer(text):
-        left = word_before(text, m.start(), max(0, m.start() - 80))
+        left = word_before(text, m.start(), 0)
         if left:
             counts["d", kind_of(left), ""] += 1
     for begin, end in units(text):
@@ -328,7 +350,7 @@ def learn(counts: DataFrame) -> DataFrame:
     counts = materialize(counts.unionByName(every), "sentence-counts")
     ended, starts, around, quoted = (counts.filter(F.col("kind") == k) for k in "dspq")
     placed = counts.filter(F.col("kind").isin("w", "c")).groupBy("lang", "a").agg(F.sum("n").alias("used"))
-    words = counts.filter(F.col("kind") == "w").groupBy("lang", F.substring("a", 3, 1_000_000).alias("a")).agg(F.sum("n").alias("n"))
+    words = counts.filter(F.col("kind") == "w").groupBy("lang", F.expr("substring(a, 3)").alias("a")).agg(F.sum("n").alias("n"))
     kind, held = F.col("kind"), lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
     totals = counts.groupBy("lang").agg(
         held(kind == "w").alias("all_n"), held(kind.isin("w", "c")).alias("all_used"), held(kind == "d").alias("stops"), held(kind == "s").alias("all_s"), held((kind == "s") & F.startswith("a", F.lit("D:"))).alias("dig_s"),
@@ -339,7 +361,7 @@ def learn(counts: DataFrame) -> DataFrame:
         F.sum("n").alias("dot"), F.sum(F.when(F.startswith("b", F.lit("L:")), F.col("n")).otherwise(0)).alias("low"),
         F.sum(F.when(F.startswith("b", F.lit("D:")), F.col("n")).otherwise(0)).alias("dig"), F.sum(F.when(F.col("b") != "", F.col("n")).otherwise(0)).alias("more"),
     )
-    types = dots.join(words.select("lang", "a", F.col("n").alias("uses")), ["lang", "a"], "left").join(ended.select("lang", "a", F.col("n").alias("before")), ["lang", "a"], "left").join(F.broadcast(totals), "lang")
+    types = dots.join(words.select("lang", "a", F.col("n").alias("uses")), ["lang", "a"], "left").join(ended.select("lang", "a", F.col("n").alias("before")), ["lang", "a"], "left").join(F.broadcast(totals), "lang").filter(F.col("dot") >= MODEL_SHARE * F.col("stops"))
     types = materialize(types, "sentence-types")  # read by six of the tables below
     before = F.greatest(F.coalesce("before", F.lit(0)), F.col("dot")).cast("double")
     uses = F.greatest(F.coalesce("uses", F.lit(0)).cast("double"), before)
@@ -355,7 +377,7 @@ def learn(counts: DataFrame) -> DataFrame:
     k, n, k0, n0 = (F.coalesce(F.col(c), F.lit(0)).cast("double") for c in ("dig", "more", "dig_s", "all_s"))
     often = (n > 0) & (k / n > 3 * k0 / F.greatest(n0, F.lit(1.0))) & (pair_ratio(k, n, k0, F.greatest(n0, F.lit(1.0))) >= SURE)
     dig = types.filter(plain & (F.col("dot") >= 3) & often).select("lang", F.lit("dig").alias("kind"), "a", F.lit("").alias("b"), (F.col("dig") / F.col("dot")).alias("value"))
-    begun = materialize(starts.join(F.broadcast(totals), "lang").select("lang", F.col("a").alias("word"), F.col("n").alias("s"), "all_s", "all_used"), "sentence-starts")
+    begun = materialize(starts.join(F.broadcast(totals), "lang").filter(F.col("n") >= MODEL_SHARE * F.col("all_s")).select("lang", F.col("a").alias("word"), F.col("n").alias("s"), "all_s", "all_used"), "sentence-starts")
     share = F.col("s") / F.col("all_s")
     begin = begun.filter(F.col("s") >= 2).select("lang", F.lit("begin").alias("kind"), F.col("word").alias("a"), F.lit("").alias("b"), share.alias("value"))
     k, n, k0 = F.col("s").cast("double"), F.col("all_s").cast("double"), F.greatest(F.coalesce("used", F.lit(0)), F.col("s")).cast("double")
@@ -364,20 +386,20 @@ def learn(counts: DataFrame) -> DataFrame:
     start = materialize(start, "sentence-starters")
     used = placed.join(start.select(F.col("word").alias("a")).distinct(), "a").select("lang", F.lit("used").alias("kind"), "a", F.lit("").alias("b"), F.col("used").cast("double").alias("value"))
     start = start.select("lang", F.lit("start").alias("kind"), F.col("word").alias("a"), F.lit("").alias("b"), share.alias("value"))
-    lower = begun.filter(F.startswith("word", F.lit("L:")) & (F.col("s") >= 3)).withColumn("a", F.substring("word", 3, 1000))
+    lower = begun.filter(F.startswith("word", F.lit("L:")) & (F.col("s") >= 3)).withColumn("a", F.expr("substring(word, 3)"))
     lower = lower.join(words.select("lang", "a", "n"), ["lang", "a"]).select("lang", F.lit("own").alias("kind"), F.col("word").alias("a"), F.lit("").alias("b"), F.least(F.lit(1.0), F.col("s") / F.col("n")).alias("value"))
     # only types that can be in doubt need their pairs: abbreviations, numbers, initials
     doubt = abbr.select("lang", "a").union(low.select("lang", "a")).union(dig.select("lang", "a")).union(types.filter((F.col("a") == "##number##") | F.regexp_like("a", F.lit(r"^(\p{L}\p{M}*\.)*\p{L}\p{M}*$"))).select("lang", "a"))
-    doubt = types.select("lang", "a", "more", "all_s").join(doubt.select("a").distinct(), "a")  # doubtful in one language: judged in each
+    doubt = types.select("lang", "a", "more", "all_s", "stops").join(doubt.select("a").distinct(), "a")  # doubtful in one language: judged in each
     doubt = materialize(doubt, "sentence-doubt")
     known = doubt.filter(F.col("more") >= KNOWN).select("lang", F.lit("known").alias("kind"), "a", F.lit("").alias("b"), F.col("more").cast("double").alias("value"))
     pairs = around.filter(F.col("b") != "").join(doubt, ["lang", "a"]).join(begun.select("lang", F.col("word").alias("b"), "s"), ["lang", "b"], "left")
     k0, n0 = F.coalesce("s", F.lit(0)).cast("double"), F.greatest(F.coalesce("all_s", F.lit(1)), F.lit(1)).cast("double")
     rate, rate0 = F.col("n") / F.col("more"), k0 / n0
-    pair = pairs.filter((F.col("n") >= 2) & (rate > 3 * rate0) & (pair_ratio(F.col("n").cast("double"), F.col("more").cast("double"), k0, n0) >= SURE)).select("lang", F.lit("pair").alias("kind"), "a", "b", rate.alias("value"))
+    pair = pairs.filter((F.col("n") >= 2) & (F.col("n") >= MODEL_SHARE * F.col("stops")) & (rate > 3 * rate0) & (pair_ratio(F.col("n").cast("double"), F.col("more").cast("double"), k0, n0) >= SURE)).select("lang", F.lit("pair").alias("kind"), "a", "b", rate.alias("value"))
     after = quoted.select("lang", F.col("a").alias("word"), F.col("n").alias("q")).join(F.broadcast(totals), "lang").join(begun.select("lang", "word", "s"), ["lang", "word"], "left")
     said_rate = F.col("q") / F.col("all_q")
-    said = after.filter((F.col("q") >= 2) & (said_rate > 3 * rate0) & (pair_ratio(F.col("q").cast("double"), F.col("all_q").cast("double"), k0, n0) >= SURE)).select("lang", F.lit("said").alias("kind"), F.col("word").alias("a"), F.lit("").alias("b"), said_rate.alias("value"))
+    said = after.filter((F.col("q") >= 2) & (said_rate >= MODEL_SHARE) & (said_rate > 3 * rate0) & (pair_ratio(F.col("q").cast("double"), F.col("all_q").cast("double"), k0, n0) >= SURE)).select("lang", F.lit("said").alias("kind"), F.col("word").alias("a"), F.lit("").alias("b"), said_rate.alias("value"))
     out = abbr
     for part in (low, dig, begin, start, used, lower, known, pair, said):
         out = out.unionByName(part)
@@ -595,7 +617,7 @@ def sentences(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Null, empty and blank texts have no sentence. Each row is split on its own, so repeated rows give
     repeated sentences. Texts are split whole. Languages null or unknown use the statistics of all."""
     documents = spread(only(documents, doc_id, text, lang))
-    model = materialize(learn(corpus_counts(documents, text, lang)).coalesce(4), "sentence-model")
+    model = materialize(learn(corpus_counts(documents, text, lang)).repartition(4), "sentence-model")
     path = model.inputFiles()
     where = path[0].rsplit("/", 1)[0] if path else None
     where = where.replace("file:///", "/") if where and where.startswith("file:///") else where

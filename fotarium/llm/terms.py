@@ -85,6 +85,28 @@ def _heavy_counts(records: DataFrame, heavy: list[str]) -> DataFrame:
     return records.select("terms").mapInArrow(run, "term string, uses bigint, records bigint")
 
 
+def _light_counts(records: DataFrame, heavy: list[str]) -> DataFrame:
+    """(term, uses, records) of all other terms: one row per term and Arrow batch."""
+    schema = pa.schema([("term", pa.string()), ("uses", pa.int64()), ("records", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(heavy, pa.string())
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(0)
+            coded = lists.flatten().dictionary_encode()
+            light = pa.compute.invert(pa.compute.is_in(coded.dictionary, value_set=names)).to_numpy(zero_copy_only=False)
+            codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            rows = lists.value_parent_indices().to_numpy(zero_copy_only=False).astype(np.int64)
+            n = len(coded.dictionary)
+            uses, held = np.bincount(codes, minlength=n), np.bincount(np.unique(rows * n + codes) % n, minlength=n)
+            at = pa.array(np.flatnonzero(light))
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(at), pa.array(uses[light]), pa.array(held[light])], schema=schema)
+
+    return records.select("terms").mapInArrow(run, "term string, uses bigint, records bigint")
+
+
 def term_counts(records: DataFrame, heavy_share: float = HEAVY_SHARE, sketch: int = SKETCH) -> tuple[DataFrame, int]:
     """((term, uses, records), number of records that have a term), exact for every term.
 
@@ -94,11 +116,7 @@ def term_counts(records: DataFrame, heavy_share: float = HEAVY_SHARE, sketch: in
     heads = records.select(F.posexplode("terms").alias("pos", "term"))
     seen = heads.agg(F.count_if(F.col("pos") == 0).alias("records"), F.count(F.lit(1)).alias("uses"), F.expr(f"approx_top_k(term, {most}, {sketch})").alias("top")).first()
     heavy = sorted(x["item"] for x in seen["top"] or [] if x["item"] is not None and x["count"] >= heavy_share * seen["uses"])
-    rest = records.select(F.explode(F.array_distinct("terms")).alias("term"), "terms")
-    if heavy:
-        rest = rest.filter(~F.col("term").isin(heavy))
-    rest = rest.select("term", F.size(F.filter("terms", lambda t: t == F.col("term"))).cast("bigint").alias("uses"))
-    light = rest.groupBy("term").agg(F.sum("uses").alias("uses"), F.count(F.lit(1)).alias("records"))
+    light = _light_counts(records, heavy).groupBy("term").agg(F.sum("uses").alias("uses"), F.sum("records").alias("records"))
     if not heavy:
         return light, seen["records"]
     tasks = _heavy_counts(records, heavy).groupBy("term").agg(F.sum("uses").alias("uses"), F.sum("records").alias("records"))

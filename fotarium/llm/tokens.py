@@ -11,13 +11,14 @@ from __future__ import annotations
 import base64
 import os
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fotarium.session import only, spread
@@ -25,14 +26,35 @@ from fotarium.session import only, spread
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that cuts text into words before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+RANKS = 50_256  # Fixed value: the tokens of the vocabulary that PATTERN belongs to
 LEAF_CHARS = 4096
 
 
+def shipped(spark: SparkSession, path: str) -> Callable[[], str]:
+    """Send a vocabulary file to the executors once; the result gives its path where it is called."""
+    if path not in _shipped.setdefault(spark.sparkContext.applicationId, set()):
+        spark.sparkContext.addFile(path)
+        _shipped[spark.sparkContext.applicationId].add(path)
+    name = os.path.basename(path)
+
+    def local() -> str:
+        held = SparkFiles.get(name)
+        return held if os.path.exists(held) else path
+
+    return local
+
+
+_shipped: dict[str, set[str]] = {}
+
+
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
-    """The encoder of a rank file, and the bytes of every id."""
+    """The encoder of a rank file, and the length of every id in bytes. PATTERN and the certain breaks
+    belong to one family of vocabularies: of another size than its are refused."""
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    if len(ranks) != RANKS:
+        raise ValueError(f"{path} has {len(ranks)} ranks, the word pattern belongs to a vocabulary of {RANKS}")
     lengths = np.zeros(max(ranks.values()) + 1, np.int64)
     for token, rank in ranks.items():
         lengths[rank] = len(token)
@@ -106,9 +128,26 @@ def encode_text(text: str | None, path: str = VOCABULARY, leaf: int = LEAF_CHARS
     return reduce_tree([Node(x, np.asarray(encode(x), np.int32)) for x in leaves], encode, lengths)
 
 
-def decode_ids(ids: list[int], path: str = VOCABULARY) -> str:
+def decode_ids(ids: list[int], path: str = VOCABULARY, leaf: int = LEAF_CHARS) -> str:
+    """The text of token ids: leaves of `leaf` ids are decoded to bytes on their own and concatenated up the
+    tree. A character may lie across a seam, so bytes become text only at the root."""
     encoding, _ = vocabulary(path)
-    return encoding.decode_bytes(ids).decode("utf-8", "replace")
+    nodes = [encoding.decode_bytes(ids[i : i + leaf]) for i in range(0, len(ids), leaf)]
+    while len(nodes) > 1:
+        nodes = [b"".join(nodes[i : i + 2]) for i in range(0, len(nodes), 2)]
+    return b"".join(nodes).decode("utf-8", "replace")
+
+
+def token_texts(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", path: str = VOCABULARY, leaf: int = LEAF_CHARS) -> DataFrame:
+    """(doc_id, text): the texts of arrays of ids; null and empty arrays give ''."""
+    kind, local = encoded.schema[doc_id].dataType, shipped(encoded.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([decode_ids(x or [], local(), leaf) for x in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], names=[doc_id, "text"])
+
+    return only(encoded, doc_id, ids).mapInArrow(run, f"`{doc_id}` {kind.simpleString()}, text string")
 
 
 def token_ids(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = VOCABULARY, leaf: int = LEAF_CHARS) -> DataFrame:
@@ -118,13 +157,14 @@ def token_ids(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     encoded whole; other columns are not read. Each task maps its own rows; only inputs of fewer partitions than cores
     are spread first."""
     kind = documents.schema[doc_id].dataType
+    local = shipped(documents.sparkSession, path)
     source = spread(only(documents, doc_id, text)).select(F.col(doc_id), F.col(text).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids = [encode_text(t.as_py(), path, leaf) for t in part.column(1)]
+                ids = [encode_text(t.as_py(), local(), leaf) for t in part.column(1)]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))], names=[doc_id, "ids"])

@@ -1,6 +1,8 @@
+import time
+
 import pytest
 
-from fotarium.llm.sentences import Corpus, corpus_counts, learn, sentences, split
+from fotarium.llm.sentences import Corpus, corpus_counts, enclosed, learn, sentences, split, word_before
 
 EN = ["Dr. Solvang kept it.", "We saw Dr. Solvang today.", "It was late.", "The card is full, etc. before noon.", "See fig. 4 there.", "No. 5 is fig. 9 now.", "We stopped at 3 p.m. sharp.", "Is it sharp?", "Was it kept?", "Keep it!", "Frame 35 is soft.", "They left L1100058.DNG here.", "Why?", "Pell came by.", "Nobody knew."]
 DE = ["Das war im 3. Satz der Probe.", "Am 9. Mai war es dunkel.", "Das gilt z. B. für Nr. 16 heute.", "Ist das scharf?", "Warum ist es dunkel?", "Behalten!", "Es war im 4. Satz gut.", "Am 1. Mai war es hell."]
@@ -81,3 +83,18 @@ def test_starters_by_ratio_not_count(spark, times):
     corpus = Corpus(held)
     text = "We saw K. Vorland there. It was late."
     assert [text[a:b] for a, b in split(text, corpus.model("en", text))] == ["We saw K. Vorland there.", "It was late."]
+
+
+def test_words_before_stops_are_whole():
+    name = "shoot_" * 40 + "final.DNG"
+    assert word_before(f"They left {name}.", 10 + len(name), 0) == name
+    assert word_before("暗い" * 5000 + "写真。", 10_002, 0) == ""
+    long = "b" * 500_000
+    assert word_before(f"x {long}.", 2 + len(long), 0) == long
+
+
+def test_unmatched_marks_take_linear_time():
+    began = time.perf_counter()
+    assert enclosed("([" * 50_000 + "}" * 50_000, 0, 150_000) == []
+    assert enclosed("(" * 50_000 + ")" * 50_000, 0, 100_000) == [(0, 99_999)]
+    assert time.perf_counter() - began < 2

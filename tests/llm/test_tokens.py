@@ -39,3 +39,12 @@ def test_whole_table(spark, base):
     docs = spark.read.parquet(f"{base}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert {r["doc_id"]: list(r["ids"]) for r in tokens.token_ids(docs).collect()} == {i: encoding.encode_ordinary(t or "") for i, t in texts.items()}
+
+
+def test_decoding_up_the_tree(spark):
+    texts = ["", "写真" * 300 + " 😀" * 50, "plain words"]
+    for leaf in (1, 3, 4096):
+        for t in texts:
+            assert tokens.decode_ids(tokens.encode_text(t).tolist(), leaf=leaf) == t
+    df = tokens.token_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert {r["doc_id"]: r["text"] for r in tokens.token_texts(df, leaf=2).collect()} == dict(enumerate(texts))
