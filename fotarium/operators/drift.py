@@ -193,3 +193,40 @@ def unified_reports(reports: DataFrame, changes: DataFrame | None = None, least:
     truth = F.when((F.col("usual") == "boolean") & (F.col("type") == "string") & F.lower(text).isin("true", "false"), F.lower(text))
     unified = F.coalesce(number, truth)
     return out.select("report_id", "dir", "generated_at", "frame", "field", F.when(unified.isNotNull(), F.col("usual")).otherwise(F.col("type")).alias("type"), F.col("type").alias("type_written"), F.coalesce(unified, "value").alias("value"))
+
+
+def _wide(unified: DataFrame, below: bool, most: int) -> DataFrame:
+    keys = ["report_id", "dir", "generated_at", *(["frame"] if below else [])]
+    rows = unified.filter((F.col("frame") != "") if below else (F.col("frame") == ""))
+    kinds = rows.groupBy("field", "type").agg(F.count(F.lit(1)).alias("n"))
+    kinds = kinds.groupBy("field").agg(F.max_by("type", F.struct("n", "type")).alias("type"), F.sum("n").alias("n"))
+    heads = sorted(tuple(r) for r in kinds.orderBy(F.col("n").desc(), "field").limit(most).select("field", "type").collect())
+    typed = {"number": "double", "boolean": "boolean"}
+    cells, taken = [], {k.lower() for k in keys} | {"rest"}
+    for field, kind in heads:
+        name = field.removeprefix("results[].").replace("[]", "").replace(".", "_")
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        of = (F.col("field") == field) & (F.col("type") == kind)
+        text = F.when(F.col("type") == "string", F.get_json_object(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), "$.v")).otherwise(F.col("value"))
+        value = F.min(F.when(of, text.try_cast(typed[kind]) if kind in typed else text))
+        cells.append(value.alias(name))
+    known = F.array(*[F.lit(f"{f}\0{k}") for f, k in heads]).cast("array<string>")
+    other = ~F.array_contains(known, F.concat_ws("\0", "field", "type"))
+    rest = F.map_from_entries(F.array_sort(F.array_distinct(F.collect_list(F.when(other, F.struct(F.concat_ws(" ", "field", "type").alias("k"), F.col("value").alias("v")))))))
+    least = rows.groupBy(*keys, "field", "type").agg(F.min("value").alias("value"))
+    return least.groupBy(*keys).agg(*cells, rest.alias("rest"))
+
+
+def report_runs(unified: DataFrame, most: int = 200) -> DataFrame:
+    """One row per run from unified_reports(): a typed column for each of the `most` fields that most runs
+    have (numbers as double, booleans, text; arrays as JSON text), named by their paths with `_`, and
+    `rest`: a map of all other fields, and of values of another type than the column's, as they stand."""
+    return _wide(unified, False, most)
+
+
+def report_frames(unified: DataFrame, most: int = 200) -> DataFrame:
+    """One row per frame of a run, in the same form. Elements of arrays without a `file` have a frame of their
+    own named by their place; where a file stands in several results of a run, the least value counts."""
+    return _wide(unified, True, most)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fotarium.operators.drift import field_changes, unified_reports
+from fotarium.operators.drift import field_changes, report_frames, report_runs, unified_reports
 from fotarium.operators.sessions import shooting_sessions
 from fotarium.operators.timestamps import utc_instants
-from fotarium.session import table
+from fotarium.session import materialize, table
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
@@ -18,6 +18,14 @@ def p3_table(spark: SparkSession, base: str) -> DataFrame:
     return unified_reports(table(spark, base, "report_files"))
 
 
+def p3_runs(spark: SparkSession, base: str) -> DataFrame:
+    return report_runs(materialize(p3_table(spark, base), "unified"))
+
+
+def p3_frames(spark: SparkSession, base: str) -> DataFrame:
+    return report_frames(materialize(p3_table(spark, base), "unified"))
+
+
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return utc_instants(table(spark, base, "frames"), table(spark, base, "manifest"), table(spark, base, "shoots"))
 
@@ -30,7 +38,7 @@ def p5_sessions(spark: SparkSession, base: str) -> DataFrame:
     return shooting_sessions(table(spark, base, "frames"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_table, p4_found, p5_found, p5_sessions)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_table, p3_runs, p3_frames, p4_found, p5_found, p5_sessions)}
 
 _MODEL = r"nullif(lower(trim(regexp_replace(exif.model, '\s+', ' ', 'g'))), '')"
 _DIGITS = r"case when regexp_matches(own, '^[0-9]+$') then own when regexp_matches(trim(exif.subsec), '^[0-9]+$') then trim(exif.subsec) else '' end"

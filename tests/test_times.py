@@ -44,6 +44,12 @@ CASES = [
     ("", "UTC", None, None),
     (None, "UTC", "5", None),
     ("9" * 100_000, "UTC", None, None),
+    # any number of digits: finer ones are cut off
+    ("2025-09-14 16:14:54." + "1234567890" * 5, "UTC", None, us(2025, 9, 14, 16, 14, 54, micro=123456)),
+    ("2025-09-14 16:14:54", "UTC", "47" + "0" * 100, us(2025, 9, 14, 16, 14, 54, micro=470000)),
+    ("0" * 20 + "1759193424." + "25" * 40, None, None, 1759193424252525),
+    ("123456789012345678", None, None, None),
+    ("\u3000 2025-09-14 16:14:54\t\r\n" + " " * 500, "UTC", None, us(2025, 9, 14, 16, 14, 54)),
 ]
 
 
