@@ -45,8 +45,38 @@ def clip_shares(samples: DataFrame, channel: str, value: str, white: float, blac
 def fine_to_coarse(plane, side: int, noise: float = 0.0):
     """How much fine detail stands over coarse: Laplacian variance less noise, over that of the plane reduced
     four times."""
-    fine = F.greatest(V.laplacian_variance(plane, side) - noise, F.lit(0.0))
-    return fine / (V.laplacian_variance(V.box_down(plane, side, 4), side // 4) + 1e-6)
+    found = V.fine_coarse(plane, side)
+    return F.greatest(found["fine"] - noise, F.lit(0.0)) / (found["coarse"] + 1e-6)
+
+
+def junk_detail(kind, dark_pct, bright_pct, contrast):
+    """Why a frame is junk, with the number that decided it; null for none."""
+    return (
+        F.when(kind == "black", F.format_string("black (%.2f%% of pixels near-black)", dark_pct))
+        .when(kind == "white", F.format_string("white (%.2f%% of pixels blown)", bright_pct))
+        .when(kind.isNotNull(), F.format_string("%s (thumbnail contrast %.2f)", kind, contrast))
+    )
+
+
+def junk_summary(frames: DataFrame, kind: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys..., junk, black, white, uniform): how many frames of each kind; frames of kind null are none."""
+    kinds = ("black", "white", "uniform")
+    return frames.groupBy(*(keys or [])).agg(F.count(kind).alias("junk"), *[F.count_if(F.col(kind) == k).alias(k) for k in kinds])
+
+
+def landed_cells(cells: DataFrame, keys: list[str], cell: str, k: int) -> DataFrame:
+    """(keys..., cell, ratio, rank): where focus landed, the `k` cells of a frame with the most fine detail for
+    their coarse detail, among those with structure; ties by cell.
+
+    `cells`: `fine`, `coarse`, `mean` (see vectors.fine_coarse()) and `excluded` of each cell of a frame. The
+    noise (taken off the fine detail) is the fine variance at a tenth of the cells neither clipped nor
+    flat (of all, if there are none). Structure: the coarse variance is in the frame's top quarter and at
+    least a quarter of the median fine one. A frame has a bounded number of cells."""
+    floors = noise_and_floor(cells, keys)
+    rows = cells.join(floors, keys).filter((F.col("coarse") > 0) & (F.col("coarse") >= F.col("floor")) & ~F.coalesce("excluded", F.lit(False)))
+    rows = rows.withColumn("ratio", F.greatest(F.col("fine") - F.col("noise"), F.lit(0.0)) / (F.col("coarse") + 1e-6))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("ratio").desc(), cell)))
+    return ranked.filter(F.col("rank") <= k).select(*keys, cell, "ratio", "rank")
 
 
 def look_steps(planes: DataFrame) -> DataFrame:
@@ -58,17 +88,27 @@ def look_steps(planes: DataFrame) -> DataFrame:
 
 
 def noise_and_floor(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., noise, floor): from the `fine` and `coarse` Laplacian variances of a frame's cells, the fine
-    one at a tenth of the sorted list, and the greater of a quarter of the median fine one and the
-    coarse one at three quarters. A frame has a bounded number of cells."""
-    sorted_ = cells.groupBy(*keys).agg(F.sort_array(F.collect_list("fine")).alias("f"), F.sort_array(F.collect_list("coarse")).alias("c"))
-    at = lambda a, share: F.try_element_at(F.col(a), (F.floor(F.size(a) * share) + 1).cast("int"))
-    return sorted_.select(*keys, at("f", 0.1).alias("noise"), F.greatest(at("f", 0.5) / 4, at("c", 0.75)).alias("floor"))
-
-
-def best_face(faces):
-    """Of an array of structs (q, area), confident ones at least half as sure as the best: the largest, of
-    equal ones the surest; null without any."""
-    best = F.array_max(F.transform(faces, lambda f: f["q"]))
-    sure = F.filter(faces, lambda f: f["q"] >= best / 2)
+    """(keys..., noise, floor) of a frame's cells (`fine`, `coarse`, `mean`), see landed_cells()."""
+    listed = lambda test, c: F.sort_array(F.collect_list(F.when(test, F.col(c))))
+    clear = (F.col("fine") > 0) & F.col("mean").between(16, 239)
+    sorted_ = cells.groupBy(*keys).agg(listed(F.lit(True), "fine").alias("f"), listed(F.lit(True), "coarse").alias("c"), listed(clear, "fine").alias("m"))
+    m, n, nc = F.when(F.size("m") > 0, F.col("m")).otherwise(F.col("f")), F.size("f"), F.size("c")
+    at = lambda a, i: F.try_element_at(a, (i + 1).cast("int"))
+    quarter = F.greatest(F.lit(1), F.floor(nc / 4))
+    return sorted_.select(*keys, at(m, F.floor(F.size(m) / 10)).alias("noise"), F.greatest(at(F.col("f"), F.floor(n / 2)) / 4, at(F.col("c"), nc - quarter)).alias("floor"))
+
+
+def best_face(faces, least: float = 0.0):
+    """Of an array of structs (q, area), those with a certainty of at least `least` and half the best one's: the
+    largest, of equal ones the surest; null without any."""
+    known = F.filter(faces, lambda f: f["q"] >= least)
+    best = F.array_max(F.transform(known, lambda f: f["q"]))
+    sure = F.filter(known, lambda f: f["q"] >= best / 2)
     return F.array_max(F.transform(sure, lambda f: F.struct(f["area"].alias("area"), f["q"].alias("q"))))
+
+
+def faces_by_certainty(faces, least: float):
+    """Faces of at least `least`, the surest first, of equal ones the larger."""
+    known = F.filter(faces, lambda f: f["q"] >= least)
+    pairs = F.transform(known, lambda f: F.struct(f["q"].alias("q"), f["area"].alias("area")))
+    return F.sort_array(pairs, asc=False)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fotarium.functions.scalars import base_name, dcf_counter, dcf_folder
-from fotarium.operators.ranges import with_previous, with_rank, with_running_sum
+from fotarium.operators.ranges import range_table, with_previous, with_rank, with_running_sum
+from fotarium.session import materialize
 
 
 def camera_order(frames: DataFrame, group: str, path: str) -> DataFrame:
@@ -39,18 +40,48 @@ def sequences(items: DataFrame, group: str, order: list[str], carry: list[str],
     `linked` may use the item's columns and, as `before_<c>`, those of the item before it for c in
     `carry`; null counts as not linked, and so does the first item. A run is cut after every
     `most` items, sets of one are dropped, sets are numbered from 1 in order. `order` ends in
-    a unique column. No group is gathered in one task (see operators.ranges)."""
-    last = order[-1]
-    rows = with_previous(items, [group], order, {"_prev": last, **{f"before_{c}": c for c in carry}}, "linked")
-    rows = rows.withColumn("_open", F.when(F.col("_prev").isNotNull() & F.coalesce(linked, F.lit(False)), 0).otherwise(1))
+    a unique column. No group is gathered in one task: items are sorted into range partitions once,
+    windows run inside these, and what continues from one into the next is a row a partition."""
+    rows = range_table(items, [group, *order], "sequence", part_col="_part")
+    within = Window.partitionBy("_part", group).orderBy(*order)
+    at = F.row_number().over(within)
+    ends = rows.groupBy("_part").agg(F.min(F.struct(group)).alias("lo"), F.max(F.struct(group, *order, *[c for c in carry if c not in (group, *order)])).alias("hi"))
+    # the last row before each partition, where it belongs to the partition's first group: a row a partition
+    ahead = Window.orderBy("_part")
+    heads = ends.select(F.col("_part").alias("_p"), F.col(f"lo.`{group}`").alias("_first"), F.lag("hi").over(ahead).alias("_last"))
+    heads = F.broadcast(heads.filter(F.col("_last").isNotNull() & F.col("_first").eqNullSafe(F.col(f"_last.`{group}`"))))
+    known = rows.withColumns({"_n": at, **{f"before_{c}": F.lag(c).over(within) for c in carry}})
+    known = known.join(heads, (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_first")) & (F.col("_n") == 1), "left")
+    carried = F.col("_last").isNotNull()
+    known = known.withColumns({f"before_{c}": F.when(carried, F.col(f"_last.`{c}`")).otherwise(F.col(f"before_{c}")) for c in carry})
+    joins = ((F.col("_n") > 1) | carried) & F.coalesce(linked, F.lit(False))
+    known = known.withColumn("_open", F.when(joins, 0).otherwise(1))
+    known = known.withColumns({"_run": F.sum("_open").over(within), "_start": F.max(F.when(F.col("_open") == 1, F.col("_n"))).over(within)})
     keep = list(dict.fromkeys([group, *order]))
-    rows = with_running_sum(rows.select(*keep, "_open"), [group], order, "_open", "_run", "runs")
-    rows = with_rank(rows.drop("_open"), order, "cuts", "_at", [group, "_run"])
-    rows = rows.withColumn("_cut", F.floor(F.col("_at") / most).cast("bigint"))
+    known = materialize(known.select("_part", *keep, "_n", "_run", "_start"), "runs")
+    # what continues into a partition: the runs of its first group so far, and the length of the open one
+    tail = known.groupBy("_part").agg(F.max_by(F.struct(group, "_run", "_start", "_n"), F.struct(*keep)).alias("t"), F.min(F.struct(group)).alias("f")).orderBy("_part")
+    offsets, runs, length, before = [], 0, 0, None
+    for r in tail.collect():  # a row a partition
+        goes_on = before is not None and before[0] == r["f"][0]
+        runs, length = (runs, length) if goes_on else (0, 0)
+        if goes_on:
+            offsets.append((r["_part"], runs, length))
+        t = r["t"]
+        if not goes_on or t[0] != before[0]:
+            runs, length = 0, 0
+        runs, length = runs + t["_run"], t["_n"] - (t["_start"] or 1) + 1 + (length if t["_start"] is None else 0)
+        before = (t[0],)
+    off = F.broadcast(items.sparkSession.createDataFrame(offsets, "_p int, _runs bigint, _length bigint"))
+    firsts = F.broadcast(tail.select(F.col("_part").alias("_p"), F.col(f"f.`{group}`").alias("_first")))
+    off = off.join(firsts, "_p")
+    rows = known.join(F.broadcast(off), (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_first")), "left")
+    place = F.col("_n") - F.coalesce("_start", F.lit(1)) + F.when(F.col("_start").isNull(), F.coalesce("_length", F.lit(0))).otherwise(0)
+    rows = rows.select(*keep, (F.col("_run") + F.coalesce("_runs", F.lit(0))).alias("_run"), F.floor(place / most).cast("bigint").alias("_cut"))
     size = rows.groupBy(group, "_run", "_cut").agg(F.count(F.lit(1)).alias("set_size")).filter("set_size > 1")
     numbered = with_rank(size, ["_run", "_cut"], "sets", "_id", [group])
-    found = rows.join(numbered, [group, "_run", "_cut"]).withColumn("set_id", F.col("_id") + 1)
-    return found.select(group, "set_id", *[c for c in keep if c != group], "set_size")
+    found = rows.join(numbered.withColumnsRenamed({group: "_g", "_run": "_r", "_cut": "_c"}), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_run") == F.col("_r")) & (F.col("_cut") == F.col("_c")))
+    return found.withColumn("set_id", F.col("_id") + 1).select(group, "set_id", *[c for c in keep if c != group], "set_size")
 
 
 def events_of(items: DataFrame, group: str, at_us: str, unique: str, gap_us: int = 7_200_000_000) -> DataFrame:

@@ -52,21 +52,21 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], carry: dict[
     kept = sorted_rows.withColumn("_fp_n", F.row_number().over(inside))
     for new, old in carry.items():
         kept = kept.withColumn(new, F.lag(old).over(inside))
-    null_safe = lambda a, b: a.eqNullSafe(b)
-    # one row per (partition, key) that continues from an earlier partition; a key that lies in one
-    # partition needs no carry, so only the first key of each partition can need one
-    last = F.max_by(F.struct(*[F.col(c) for c in dict.fromkeys(carry.values())]), F.struct(*order))
-    ends = sorted_rows.groupBy("_fp_part", *keys).agg(last.alias("_fp_last"))
-    across = Window.partitionBy(*keys).orderBy("_fp_part")
-    heads = ends.withColumn("_fp_before", F.lag("_fp_last").over(across)).filter(F.col("_fp_before").isNotNull())
-    heads = heads.select(F.col("_fp_part").alias("_fp_p"), *[F.col(k).alias(f"_fp_k{i}") for i, k in enumerate(keys)], "_fp_before")
+    # only the first key of a partition can continue from before, from the last row of the one before it: a
+    # row a partition, so it is broadcast
+    whole = list(dict.fromkeys([*keys, *order, *carry.values()]))
+    ends = sorted_rows.groupBy("_fp_part").agg(F.min(F.struct(*keys)).alias("_fp_lo"), F.max_by(F.struct(*whole), F.struct(*keys, *order)).alias("_fp_hi"))
+    heads = ends.select(F.col("_fp_part").alias("_fp_p"), "_fp_lo", F.lag("_fp_hi").over(Window.orderBy("_fp_part")).alias("_fp_before"))
+    same = F.col("_fp_before").isNotNull()
+    for k in keys:
+        same = same & F.col(f"_fp_lo.`{k}`").eqNullSafe(F.col(f"_fp_before.`{k}`"))
     on = (F.col("_fp_part") == F.col("_fp_p")) & (F.col("_fp_n") == 1)
-    for i, k in enumerate(keys):
-        on = on & null_safe(F.col(k), F.col(f"_fp_k{i}"))
-    out = kept.join(heads, on, "left")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_fp_lo.`{k}`"))
+    out = kept.join(F.broadcast(heads.filter(same)), on, "left")
     for new, old in carry.items():
-        out = out.withColumn(new, F.when(F.col("_fp_n") == 1, F.col(f"_fp_before.`{old}`")).otherwise(F.col(new)))
-    return out.drop("_fp_part", "_fp_n", "_fp_p", "_fp_before", *[f"_fp_k{i}" for i in range(len(keys))])
+        out = out.withColumn(new, F.when(F.col("_fp_before").isNotNull(), F.col(f"_fp_before.`{old}`")).otherwise(F.col(new)))
+    return out.drop("_fp_part", "_fp_n", "_fp_p", "_fp_lo", "_fp_before")
 
 
 def with_running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, label: str) -> DataFrame:
@@ -75,16 +75,21 @@ def with_running_sum(df: DataFrame, keys: list[str], order: list[str], value: st
     Inside a range partition a window sums; each (partition, key) then adds the totals of the key's
     earlier partitions, so no group is gathered in one task. Columns beginning with `_fp_` are reserved."""
     sorted_rows = range_table(df, [*keys, *order], label, part_col="_fp_part")
+    # sums of the first key of a partition in those before it: a row a partition, so they are broadcast
     totals = sorted_rows.groupBy("_fp_part", *keys).agg(F.sum(value).alias("_fp_c"))
-    before = Window.partitionBy(*keys).orderBy("_fp_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_fp_off", F.coalesce(F.sum("_fp_c").over(before), F.lit(0)))
-    offsets = offsets.select(F.col("_fp_part").alias("_fp_p"), *[F.col(k).alias(f"_fp_k{i}") for i, k in enumerate(keys)], "_fp_off")
+    ends = totals.groupBy("_fp_part").agg(F.min(F.struct(*keys)).alias("_fp_lo"), F.max(F.struct(*keys, "_fp_c")).alias("_fp_hi"))
+    key = F.struct(*[F.col(f"_fp_hi.`{k}`").alias(k) for k in keys])
+    ends = ends.withColumns({"_fp_key": key, "_fp_c": F.coalesce("_fp_hi._fp_c", F.lit(0))})
+    ends = ends.withColumn("_fp_upto", F.sum("_fp_c").over(Window.partitionBy("_fp_key").orderBy("_fp_part")))
+    ahead = Window.orderBy("_fp_part")
+    ends = ends.select(F.col("_fp_part").alias("_fp_p"), "_fp_lo", F.lag("_fp_key").over(ahead).alias("_fp_last"), F.lag("_fp_upto").over(ahead).alias("_fp_off"))
+    ends = ends.filter(F.col("_fp_last").eqNullSafe(F.col("_fp_lo")))
     inside = Window.partitionBy("_fp_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     on = F.col("_fp_part") == F.col("_fp_p")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_fp_k{i}"))
-    summed = sorted_rows.withColumn(out, F.sum(value).over(inside)).join(offsets, on, "left")
-    return summed.withColumn(out, (F.col(out) + F.col("_fp_off")).cast(T.LongType())).drop("_fp_part", "_fp_p", "_fp_off", *[f"_fp_k{i}" for i in range(len(keys))])
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_fp_lo.`{k}`"))
+    summed = sorted_rows.withColumn(out, F.sum(value).over(inside)).join(F.broadcast(ends), on, "left")
+    return summed.withColumn(out, (F.col(out) + F.coalesce("_fp_off", F.lit(0))).cast(T.LongType())).drop("_fp_part", "_fp_p", "_fp_lo", "_fp_last", "_fp_off")
 
 
 def with_rank(df: DataFrame, order: list[str], label: str, rank_col: str = "rank0", within: list[str] | None = None) -> DataFrame:
