@@ -33,12 +33,65 @@ def label_fold(log: DataFrame) -> DataFrame:
 
 
 def manifest_fold(manifest: DataFrame) -> DataFrame:
-    """The last line of each card file (name without case, size), with where it first appeared."""
-    keyed = manifest.withColumn("orig_key", F.lower("orig"))
-    first = keyed.groupBy("orig_key", "size").agg(F.min("entry_id").alias("first_id"))
-    last = fold_last(keyed.select("orig_key", "size", "entry_id", "dir", "name", "file_sha256", "sha256"), ["orig_key", "size"], "entry_id")
-    last = last.withColumn("current_sha256", F.coalesce(F.nullif(F.trim("file_sha256"), F.lit("")), "sha256"))
-    return last.join(first, ["orig_key", "size"])
+    """The last line of each card file (name without case, size), with where it first appeared. Null names and
+    sizes are keys like others; of lines equal in entry_id the greatest values win."""
+    rest = ["dir", "name", "src", "file_sha256", "sha256", "dates_set"]
+    keyed = manifest.select(F.lower("orig").alias("orig_key"), "size", "entry_id", *[F.col(c) if c in manifest.columns else F.lit(None).cast("string").alias(c) for c in rest])
+    last = keyed.groupBy("orig_key", "size").agg(F.max(F.struct("entry_id", *rest)).alias("_last"), F.min("entry_id").alias("first_id"))
+    out = last.select("orig_key", "size", "_last.*", "first_id")
+    return out.withColumn("current_sha256", F.coalesce(F.nullif(F.trim("file_sha256"), F.lit("")), "sha256"))
+
+
+def digest_text(text: Column) -> Column:
+    """A SHA-256 digest as 64 lower-case hex digits, whatever blanks, case or name it was written with; null if it is
+    none."""
+    bare = F.regexp_replace(F.lower(F.regexp_replace(text, r"[\s\u00a0]+", "")), "^sha-?256[:=]", "")
+    return F.when(F.regexp_like(bare, F.lit("^[0-9a-f]{64}$")), bare)
+
+
+def with_manifest(frames: DataFrame, folded: DataFrame, name: Column) -> DataFrame:
+    """Frames with `dates_set`, `card_name` and `digest` of their line in manifest_fold(): the line of the same dir
+    whose `orig_key` is the lower-case `name`; of several (other sizes) the last one. Frames without a
+    line keep what they have in columns of these names, as a line does where it says nothing."""
+    lines = folded.filter(F.col("orig_key").isNotNull() & F.col("dir").isNotNull())
+    lines = lines.groupBy(F.col("dir").alias("_d"), F.col("orig_key").alias("_k")).agg(F.max_by(F.struct(F.nullif(F.trim("dates_set"), F.lit("")).alias("d"), card_name(F.col("src"), F.col("orig_key")).alias("c"), digest_text(F.col("current_sha256")).alias("h")), "entry_id").alias("_m"))
+    out = frames.withColumn("_key", F.lower(name)).join(lines, (F.col("dir") == F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
+    for field, at in (("dates_set", "d"), ("card_name", "c"), ("digest", "h")):
+        held = F.col(f"_m.{at}")
+        out = out.withColumn(field, F.coalesce(held, F.col(field)) if field in frames.columns else held)
+    return out.drop("_key", "_d", "_k", "_m")
+
+
+def card_name(src: Column, orig: Column) -> Column:
+    """The camera's folder and file name on the card: `107CORVN/L1234567.DNG`; without a folder the name alone."""
+    parts = F.split(src, "/")
+    return F.concat_ws("/", F.when(F.size(parts) > 1, F.nullif(F.element_at(parts, -2), F.lit(""))), F.coalesce(F.nullif(F.element_at(parts, -1), F.lit("")), orig))
+
+
+def import_labels(entries: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
+    """The entries to append, if the frames have every one of them; else an error that names the first stranger
+    by name, and nothing is imported."""
+    strangers = entries.join(frames.select(*keys).distinct(), keys, "left_anti")
+    one = strangers.select(F.min(F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("(null)")) for k in keys]))).first()[0]
+    if one is not None:
+        raise ValueError(f"no such frame, nothing imported: {one}")
+    return entries
+
+
+def uncharged(answers: DataFrame, used: DataFrame, key: str, tokens: list[str]) -> DataFrame:
+    """One row (n, tokens...): answers that are neither charged nor used by this run, with their tokens."""
+    open_ = answers.filter(~F.coalesce("charged", F.lit(False))).join(used.select(key).distinct(), key, "left_anti")
+    return open_.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(t), F.lit(0)).alias(t) for t in tokens])
+
+
+def path_of(recorded: DataFrame, listing: DataFrame, path: str, places: tuple[str, ...] = ("culled", "keep", "review", "cull")) -> DataFrame:
+    """(path, found): where each recorded file is now: at its path, else in the first of the folders beside it that
+    has it; null if it is in none. One equi join on the possible paths."""
+    parts = F.regexp_extract(F.col(path), r"^(.*/)?([^/]*)$", 1), F.regexp_extract(F.col(path), r"^(.*/)?([^/]*)$", 2)
+    ways = F.array(F.col(path), *[F.concat(parts[0], F.lit(f"{p}/"), parts[1]) for p in places])
+    asked = recorded.select(path).distinct().select(path, F.posexplode(ways).alias("_rank", "_at"))
+    met = asked.join(listing.select(F.col(path).alias("_at"), F.lit(True).alias("_is")).distinct(), "_at", "left")
+    return met.groupBy(path).agg(F.min(F.when(F.col("_is"), F.struct("_rank", "_at"))).alias("_f")).select(path, F.col("_f._at").alias("found"))
 
 
 def label_entry_ok(file: Column, label: Column, stars: Column, ev: Column) -> Column:

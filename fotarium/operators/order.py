@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -122,6 +127,89 @@ def finalists(chunks: Column, keep: Column, most: int = 8) -> Column:
     return F.greatest(F.floor(F.lit(most) / chunks).cast("bigint"), F.ceil(keep / chunks).cast("bigint"), F.lit(1))
 
 
+def rank_calls(n: Column, twice: bool = False, most: int = 8) -> Column:
+    """The calls that rank a set of n: its chunks, and one more to merge several or to rank in reverse."""
+    chunks = F.ceil(n / most).cast("bigint")
+    return chunks + F.when((chunks > 1) | F.lit(twice), 1).otherwise(0)
+
+
+def to_rank(sets: DataFrame, force: bool = False) -> DataFrame:
+    """Sets (of, by) of two or more frames that can be ranked and have no model order yet; all of them by force."""
+    need = F.col("of") >= 2
+    return sets.filter(need if force else need & ~F.col("by").eqNullSafe("model"))
+
+
+def final_positions(chunks: DataFrame, keys: list[str], keep: int, most: int = 8) -> DataFrame:
+    """(keys..., positions): the frames of the final round, the first few of each chunk, in capture order. `chunks`:
+    keys, chunk, chunk_rank (from 1), pos. Sets are bounded."""
+    many = chunks.groupBy(*keys).agg(F.countDistinct("chunk").alias("_chunks"))
+    kept = chunks.join(many, keys).filter(F.col("chunk_rank") <= finalists(F.col("_chunks"), F.lit(keep), most))
+    return kept.groupBy(*keys).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+def reversed_order(order: Column) -> Column:
+    return F.reverse(order)
+
+
+def is_permutation(answer: Column, n: Column) -> Column:
+    """Whether an array has each of 1 to n once; false for null."""
+    right = (F.size(answer) == n) & (F.array_sort(answer) == F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>")))
+    return F.coalesce(right, F.lit(False))
+
+
+def request_batches(requests: DataFrame, order: list[str], size: str, limit: int = 32 * 1024 * 1024, most: int = 10_000, chunk: int = 1_000_000) -> DataFrame:
+    """Add `batch_no` (from 1): requests in order, a new batch where the sum of sizes would exceed `limit` or the
+    number `most`; each has one at least. `order` ends in a unique column; a null size counts as 0.
+
+    Each cut depends on the one before. Requests get their place and running sum by range partitions; then the
+    cuts are found chunk by chunk of `chunk` places: a chunk needs only where the open batch began, and from
+    a cut the next one is found by bisection. So a task never holds more than a chunk."""
+    rows = with_rank(requests.withColumn("_size", F.coalesce(F.col(size).cast("bigint"), F.lit(0))).withColumn("_all", F.lit(0)), order, "requests", "_pos", ["_all"])
+    rows = materialize(with_running_sum(rows, ["_all"], ["_pos"], "_size", "_upto", "requests").withColumn("_chunk", F.floor(F.col("_pos") / chunk).cast("bigint")), "requests", ["_chunk"])
+    n = rows.count()
+
+    def cuts(first: int, base: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+            out: list[tuple[int, int]] = []
+            if held is not None and held.num_rows:
+                pos, upto, sizes = (held.column(i).to_numpy() for i in range(3))
+                sorted_ = np.argsort(pos)
+                pos, upto, sizes = pos[sorted_], upto[sorted_], sizes[sorted_]
+                start, before = first, base
+                while True:
+                    at = min(int(np.searchsorted(upto, before + limit, "right")), max(0, start + most - int(pos[0])))
+                    at = max(at, start + 1 - int(pos[0]))
+                    if at >= len(pos):
+                        break
+                    start, before = int(pos[at]), int(upto[at] - sizes[at])
+                    out.append((start, before))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["_cut", "_base"])
+
+        return run
+
+    found, state = [], (0, 0)
+    for c in range(-(-n // chunk)):
+        part = rows.filter(F.col("_chunk") == c).select("_pos", "_upto", "_size").repartition(1)
+        found.append(materialize(part.mapInArrow(cuts(*state), "_cut bigint, _base bigint"), "cuts"))
+        last = found[-1].agg(F.max(F.struct("_cut", "_base"))).first()[0]
+        state = state if last is None else (last["_cut"], last["_base"])
+    if not found:
+        return requests.withColumn("batch_no", F.lit(1).cast("bigint"))
+    marks = reduce(DataFrame.unionByName, found).select("_cut", F.lit(1).alias("_new"))
+    rows = rows.join(marks, F.col("_pos") == F.col("_cut"), "left").withColumn("_new", F.coalesce("_new", F.lit(0)))
+    out = with_running_sum(rows, ["_all"], ["_pos"], "_new", "batch_no", "batches").withColumn("batch_no", F.col("batch_no") + 1)
+    return out.select(*requests.columns, "batch_no")
+
+
+def request_size(system: Column, texts: Column, jpegs: Column) -> Column:
+    """The size of a request: a fixed part, the bytes of its texts, and those of its images (an array of byte counts)
+    as base64, each rounded down."""
+    words = F.aggregate(texts, F.lit(0).cast("bigint"), lambda a, t: a + F.coalesce(F.octet_length(t), F.lit(0)))
+    images = F.aggregate(jpegs, F.lit(0).cast("bigint"), lambda a, b: a + F.floor(F.coalesce(b, F.lit(0)) * 4 / 3))
+    return F.lit(2048) + F.coalesce(F.octet_length(system), F.lit(0)) + F.coalesce(words, F.lit(0)) + F.coalesce(images, F.lit(0))
+
+
 def upper_median(groups: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys..., n, median): the element n // 2 of each group's sorted values, by ranks, ungathered."""
     rows = groups.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fotarium.operators.ranges import with_rank
+from fotarium.session import materialize
 
 #: The newest schema version that is understood.
 SCHEMA_VERSION = 4
@@ -17,15 +20,19 @@ REPORT = f"schema_version int, generated string, backend string, model string, k
 LABEL = "file string, label string, stars int, ev double, at string, from string"
 
 
-def parsed(files: DataFrame, raw: str = "raw") -> DataFrame:
-    """(report_id, dir, generated_at, doc): readable documents of a known version, each once.
+def parsed(files: DataFrame, raw: str = "raw", newer: str = "fail") -> DataFrame:
+    """(report_id, dir, generated_at, doc): readable documents, each once.
 
-    Torn documents and newer versions are left out; sources that should fail on them can check
-    `unreadable()`. A field of another type than declared is null."""
+    Torn documents are left out; unreadable() lists them. A document of a newer version than is understood is
+    an error (`newer="skip"`: left out); one without a version counts as of the first. A field of
+    another type than declared is null."""
     doc = F.from_json(F.col(raw), REPORT, {"mode": "PERMISSIVE"})
     whole = F.expr(f"try_parse_json(`{raw}`)").isNotNull()
     rows = files.filter(whole).select("report_id", "dir", "generated_at", doc.alias("doc"))
-    rows = rows.filter(F.col("doc.schema_version") <= SCHEMA_VERSION)
+    known = F.coalesce("doc.schema_version", F.lit(0)) <= SCHEMA_VERSION
+    if newer == "fail":
+        known = F.when(known, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("newer report version: "), F.col("doc.schema_version").cast("string"), F.lit(" of report "), F.col("report_id").cast("string"))).cast("boolean"))
+    rows = rows.filter(known)
     return rows.groupBy("report_id").agg(F.first(F.struct("dir", "generated_at", "doc")).alias("r")).select("report_id", "r.*")
 
 
@@ -47,24 +54,45 @@ def frames(files: DataFrame) -> DataFrame:
     return rows.select("report_id", "r.file", "r.decision", F.when(now, F.col("r.group.rank")).alias("rank"), F.when(now & F.col("r.group").isNotNull(), best).alias("best"))
 
 
+def numbered_lines(spark: SparkSession, path: str, torn: bool = True) -> DataFrame:
+    """(pos, line) of a text file, numbered from 1, read in splits and numbered in order by range partitions.
+    `torn=False` leaves out a last line that has no line end (its writer was stopped)."""
+    text = spark.read.text(path, lineSep="\n").select(F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    numbered = with_rank(materialize(text, "lines"), ["_block", "_at"], "lines", "pos").select((F.col("pos") + 1).alias("pos"), "line")
+    if torn or _ends_whole(spark, path):
+        return numbered
+    return numbered.filter(F.col("pos") < F.lit(numbered.agg(F.max("pos")).first()[0]))
+
+
+def _ends_whole(spark: SparkSession, path: str) -> bool:
+    """Whether a file is empty or its last byte is a line end."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    size = fs.getFileStatus(place).getLen()
+    if not size:
+        return True
+    stream = fs.open(place)
+    stream.seek(size - 1)
+    last = stream.read()
+    stream.close()
+    return last == 10
+
+
 def label_lines(spark: SparkSession, path: str) -> DataFrame:
     """A labels log (JSON lines) as (log_id, file, label, stars, ev, at, from): blank lines are skipped, a last
     line without its line end is torn and ignored, any other bad line is an error with its number."""
-    text = spark.read.text(path, wholetext=True)
-    lines = F.split("value", "\n")
-    rows = text.select(F.posexplode(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("pos", "line")).filter(F.trim("line") != "")
+    rows = numbered_lines(spark, path, torn=False).filter(F.trim("line") != "")
     entry = F.from_json("line", LABEL, {"mode": "PERMISSIVE"})
-    bad = F.raise_error(F.concat(F.lit("bad label entry in line "), (F.col("pos") + 1).cast("string")))
+    bad = F.raise_error(F.concat(F.lit("bad label entry in line "), F.col("pos").cast("string")))
     whole = F.expr("try_parse_json(line)").isNotNull()
-    rows = rows.select((F.col("pos") + 1).cast("bigint").alias("log_id"), F.when(whole & entry["file"].isNotNull(), entry).otherwise(bad).alias("e"))
+    rows = rows.select(F.col("pos").alias("log_id"), F.when(whole & entry["file"].isNotNull(), entry).otherwise(bad).alias("e"))
     return rows.select("log_id", "e.*")
 
 
 def manifest_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """An offload manifest (JSON lines) with its line numbers: lines that can't be read or have no name are
     skipped."""
-    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    rows = text.filter(F.expr("try_parse_json(line)").isNotNull()).select((F.col("pos") + 1).cast("bigint").alias("entry_id"), F.from_json("line", schema).alias("e")).select("entry_id", "e.*")
+    rows = numbered_lines(spark, path).filter(F.expr("try_parse_json(line)").isNotNull()).select(F.col("pos").alias("entry_id"), F.from_json("line", schema).alias("e")).select("entry_id", "e.*")
     return rows.filter(F.coalesce("name", F.lit("")) != "")
 
 
@@ -72,8 +100,24 @@ def listing(spark: SparkSession, path: str, sorted_into: tuple[str, ...] = ("kee
     """(path, size, mtime_us) of the raw files under a folder, without hidden files and folders and those
     already sorted; contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[dD][nN][gG]").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime_us"))
-    parts = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
-    return files.filter(~F.exists(parts, lambda x: F.startswith(x, F.lit("."))) & ~F.arrays_overlap(parts, F.array(*[F.lit(x) for x in sorted_into])) & ~F.startswith(F.element_at(F.split("path", "/"), -1), F.lit(".")))
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    above = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
+    inner = F.split(F.substring_index(F.col("path"), above + "/", -1), "/")  # only what is below the folder counts
+    folders = F.slice(inner, 1, F.size(inner) - 1)
+    return files.filter(~F.exists(inner, lambda x: F.startswith(x, F.lit("."))) & ~F.coalesce(F.arrays_overlap(folders, F.array(*[F.lit(x) for x in sorted_into])), F.lit(False)))
+
+
+def card_scan(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """(root, path, size, mtime_us) of the raw files of several cards, `root` being the place of the card in the
+    list: the order of cards comes before the order on one."""
+    found = [listing(spark, r, ()).select(F.lit(i).alias("root"), "path", "size", "mtime_us") for i, r in enumerate(roots)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def shoot_files(spark: SparkSession, path: str, places: tuple[str, ...] = ("keep", "review", "cull", "culled")) -> DataFrame:
+    """(path, size, mtime_us, place): a folder's own frames (place '') and those sorted into folders of it."""
+    every = listing(spark, path, ()).withColumn("place", F.element_at(F.split("path", "/"), -2))
+    return every.withColumn("place", F.when(F.col("place").isin(*places), F.col("place")).otherwise(""))
 
 
 def batch_results(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 from fotarium.operators.ranges import with_previous, with_rank
-from fotarium.operators.sessions import merge_sessions, shooting_sessions, stream_sessions
+from fotarium.operators.sessions import SessionStore, closed_sessions, merge_intervals, merge_sessions, shooting_sessions, stream_sessions, watermark_sessions
 
 
 def brute(rows, gap):
@@ -65,8 +65,59 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame(rows, "k string, at timestamp").write.parquet(str(tmp_path / "in"))
     spark.createDataFrame([("z", start + timedelta(days=2))], "k string, at timestamp").write.mode("append").parquet(str(tmp_path / "in"))
     events = spark.readStream.schema("k string, at timestamp").parquet(str(tmp_path / "in"))
-    query = stream_sessions(events, "k", "at").writeStream.format("memory").queryName("found").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    query = watermark_sessions(events, "k", "at").writeStream.format("memory").queryName("found").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
     query.processAllAvailable()
     query.stop()
     got = sorted((r["k"], (r["end_at"] - r["start_at"]).total_seconds(), r["n"]) for r in spark.table("found").collect())
     assert got == [("a", 0.0, 1), ("a", 1800.0, 3), ("b", 0.0, 1)]
+
+
+def test_intervals_of_any_length(spark):
+    rnd = random.Random(9)
+    rows = []
+    for i in range(600):
+        a = rnd.randrange(0, 20_000)
+        rows.append(("hot" if i % 4 else "x", a, a + rnd.choice([0, 0, 3, 40, 6000 if i % 97 == 0 else 1]), rnd.randrange(1, 4)))
+    want = []
+    for k in ("hot", "x"):
+        held = sorted(r[1:] for r in rows if r[0] == k)
+        run = list(held[0])
+        for a, b, n in held[1:]:
+            if a - run[1] > 12:
+                want.append((k, *run))
+                run = [a, b, n]
+            else:
+                run = [run[0], max(run[1], b), run[2] + n]
+        want.append((k, *run))
+    got = merge_intervals(spark.createDataFrame(rows, "key string, start bigint, end bigint, n bigint"), 12).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_store_takes_late_and_repeated_events(spark, tmp_path):
+    rnd = random.Random(11)
+    day = SessionStore.DAY
+    events = [(str(i), rnd.choice(["hot", "hot", "b"]), rnd.randrange(0, 4 * day) // 10**9 * 10**9) for i in range(300)]
+    rnd.shuffle(events)
+    gap = 900_000_000
+    store = SessionStore(spark, str(tmp_path / "s"), gap)
+    for k in range(2):
+        part = events[k * 150 : k * 150 + 150] + events[:10]  # the first ones come again
+        store.add(spark.createDataFrame(part, "id string, key string, at bigint"), k)
+    assert store.add(spark.createDataFrame(events[:5], "id string, key string, at bigint"), 1) is None
+    assert store.add(spark.createDataFrame(events[:5], "id string, key string, at bigint"), 7) is None
+    got = sorted(map(tuple, SessionStore(spark, str(tmp_path / "s"), gap).sessions().collect()))
+    assert got == brute([(k, t) for _, k, t in events], gap)
+    newest = max(t for *_, t in events)
+    assert sorted(map(tuple, store.closed(day).collect())) == [r for r in got if r[2] + gap < newest - day]
+    assert closed_sessions(store.sessions(), 0, gap).collect() == []
+
+
+def test_stream_into_the_store(spark, tmp_path):
+    start, inbox = datetime(2025, 1, 1), str(tmp_path / "in")
+    schema = "id bigint, model string, at timestamp"
+    for part in ([(1, " Cam  A", 0), (2, "cam a", 600)], [(3, "cam b", 200_000)], [(4, "CAM A", 1500), (2, "cam a", 600), (5, None, 1)]):
+        spark.createDataFrame([(i, m, start + timedelta(seconds=s)) for i, m, s in part], schema).coalesce(1).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(schema).parquet(inbox)
+        stream_sessions(stream, "id", "model", "at", str(tmp_path / "s"), str(tmp_path / "cp")).awaitTermination()
+    got = sorted((r["key"], r["end"] - r["start"], r["n"]) for r in SessionStore(spark, str(tmp_path / "s")).sessions().collect())
+    assert got == [("cam a", 1_500_000_000, 3), ("cam b", 0, 1)]
