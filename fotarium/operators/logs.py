@@ -104,12 +104,12 @@ def label_entry_ok(file: Column, label: Column, stars: Column, ev: Column) -> Co
 
 def effective(frames: DataFrame, labels: DataFrame) -> DataFrame:
     """Frames with the verdict that holds: the hand label of (dir, base name) if there is one, else the
-    recorded decision, and whether it is by hand."""
+    recorded decision, whether it is by hand, and the stars and exposure (`hand_ev`) set by hand."""
     named = frames.withColumn("_base", base_name(F.col("file")))
-    marks = labels.select(F.col("dir").alias("_dir"), F.col("file").alias("_file"), F.nullif("label", F.lit("")).alias("_label"), F.col("stars").alias("_stars"))
+    marks = labels.select(F.col("dir").alias("_dir"), F.col("file").alias("_file"), F.nullif("label", F.lit("")).alias("_label"), F.col("stars").alias("_stars"), F.col("ev").alias("_ev"))
     joined = named.join(marks, (F.col("dir") == F.col("_dir")) & (F.col("_base") == F.col("_file")), "left")
-    out = joined.withColumns({"verdict": F.coalesce("_label", F.nullif("decision", F.lit(""))), "by_hand": F.col("_label").isNotNull(), "stars": F.coalesce("_stars", F.lit(0))})
-    return out.drop("_base", "_dir", "_file", "_label", "_stars")
+    out = joined.withColumns({"verdict": F.coalesce("_label", F.nullif("decision", F.lit(""))), "by_hand": F.col("_label").isNotNull(), "stars": F.coalesce("_stars", F.lit(0)), "hand_ev": F.col("_ev")})
+    return out.drop("_base", "_dir", "_file", "_label", "_stars", "_ev")
 
 
 def pending(listing: DataFrame, done: DataFrame, version: list[str]) -> DataFrame:

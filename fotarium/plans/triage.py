@@ -10,7 +10,7 @@ from fotarium.functions import vectors as V
 from fotarium.operators import compare, logs, measure, names, order
 from fotarium.plans.triage_sql import SQL  # noqa: F401
 from fotarium.session import table
-from fotarium.sources import reports, sidecars
+from fotarium.sources import reports
 
 
 def frames_once(spark: SparkSession, base: str) -> DataFrame:
@@ -80,17 +80,25 @@ def pending_files(spark, base):
     return logs.pending(listing, done, ["orig", "size"])
 
 
+def _card_files(spark, base):
+    """The last delivery of each card file."""
+    rows = table(spark, base, "card_files").filter("file_id is not null")
+    return rows.groupBy("file_id").agg(F.max(F.struct("loaded_at", "src", "orig", "size", "sha256")).alias("r")).select("file_id", "r.*")
+
+
 def resume_states(spark, base):
-    listing = table(spark, base, "card_files").filter("src is not null").groupBy("src").agg(F.max("size").alias("size"))
-    results = table(spark, base, "manifest").filter("src is not null").groupBy("src").agg(F.max("size").alias("size"), F.max("sha256").alias("digest"))
+    listing = _card_files(spark, base).filter("src is not null").groupBy("src").agg(F.max(F.struct("file_id", "size")).alias("r")).select("src", "r.size")
+    lines = table(spark, base, "manifest").filter("src is not null and entry_id is not null").groupBy("src").agg(F.max(F.struct("entry_id", "size", "sha256")).alias("r"))
+    results = lines.select("src", "r.size", logs.digest_text(F.col("r.sha256")).alias("digest"))
     out = logs.resume(listing, results, "src", ["size"], F.col("digest").isNotNull())
     return out.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
 def verify_files(spark, base):
-    recorded = table(spark, base, "manifest").groupBy(F.lower("orig").alias("orig")).agg(F.max("size").alias("size"), F.max("sha256").alias("digest"))
-    listing = table(spark, base, "card_files").groupBy(F.lower("orig").alias("orig")).agg(F.max("size").alias("size"), F.max("sha256").alias("digest"))
-    return logs.verify(recorded, listing, ["orig"], "size", "digest")
+    folded = logs.manifest_fold(table(spark, base, "manifest").dropDuplicates(["entry_id"]))
+    recorded = folded.groupBy(F.col("orig_key").alias("orig"), "size").agg(F.max(F.struct("entry_id", "current_sha256")).alias("r")).select("orig", "size", logs.digest_text(F.col("r.current_sha256")).alias("digest"))
+    listing = _card_files(spark, base).groupBy(F.lower("orig").alias("orig"), "size").agg(F.max(F.struct("file_id", "sha256")).alias("r")).select("orig", "size", logs.digest_text(F.col("r.sha256")).alias("digest"))
+    return logs.verify(recorded.withColumn("bytes", F.col("size")), listing.withColumn("bytes", F.col("size")), ["orig", "size"], "bytes", "digest")
 
 
 def near_matches(spark, base):
@@ -154,8 +162,8 @@ def upper_medians(spark, base):
 
 
 def frame_numbers(spark, base):
-    frames = frames_once(spark, base).filter("dir is not null").select("dir", "frame_id", "file")
-    plan = names.numbered(frames, "dir", ["file", "frame_id"])
+    frames = order.camera_order(frames_once(spark, base).filter("dir is not null and file is not null").select("dir", "frame_id", "file"), "dir", "file")
+    plan = names.numbered(frames, "dir", [*order.CAMERA_KEYS, "file", "frame_id"])
     new = S.expand("{date}-{name}-{n:4}.dng", F.substring("dir", 9, 10), F.lit("set"), S.stem(F.col("file")), F.col("n").cast("int"))
     return plan.select("frame_id", "n", new.alias("new_name"), F.regexp_extract(new, S.pattern_regex("{date}-{name}-{n:4}.dng"), 1).alias("back"))
 
@@ -221,7 +229,7 @@ def result_counts(spark, base):
 def plane_statistics(spark, base):
     plane = F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 128).cast("double"))
     rows = table(spark, base, "embeddings").select("vec_id", plane.alias("plane"))
-    return rows.select("vec_id", S.round_half_away(V.deviation(F.col("plane")), 4).alias("deviation"), S.round_half_away(V.laplacian_variance(F.col("plane"), 8), 6).alias("laplacian"), S.round_half_away(V.total(V.box_down(F.col("plane"), 8, 4)), 4).alias("coarse"))
+    return rows.select("vec_id", S.round_half_away(V.deviation(F.col("plane")), 4).alias("deviation"), S.round_half_away(V.laplacian_variance(F.col("plane"), 8), 6).alias("laplacian"), *[S.round_half_away(V.box_down(F.col("plane"), 8, 4)[i], 4).alias(f"block{i}") for i in range(4)])
 
 
 def look_distances(spark, base):
@@ -240,31 +248,12 @@ def report_frames(spark, base):
     return reports.frames(table(spark, base, "report_files"))
 
 
-def sidecar_rows(spark, base):
-    labels = logs.label_fold(table(spark, base, "label_log"))
-    return sidecars.columns(logs.effective(frames_once(spark, base), labels)).select("frame_id", "rating", "color", F.array_join("subjects", "|").alias("subjects"))
-
-
-def sidecar_texts(spark, base):
-    labels = logs.label_fold(table(spark, base, "label_log"))
-    return sidecars.columns(logs.effective(frames_once(spark, base), labels)).select("frame_id", sidecars.text().alias("xmp"))
-
-
-def contact_sheet(spark, base):
-    labels = logs.label_fold(table(spark, base, "label_log"))
-    return sidecars.cards(logs.effective(frames_once(spark, base), labels))
-
-
-def move_plan(spark, base):
-    return sidecars.move_plan(frames_once(spark, base))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         label_fold, label_entries_ok, manifest_fold, effective_verdicts, confusion_matrix, confusion_rates, run_difference, change_summary, repeated_names, pending_files,
         resume_states, verify_files, near_matches, capture_order, sequence_sets, sequence_cut, event_split, broken_clocks, best_of_sets, keep_grid, chunk_plan, upper_medians,
         frame_numbers, name_collisions, ghost_names, stem_conflicts, name_problems, clean_keywords, path_parts, card_folders, boxes, luma_statistics, usage_by_camera,
-        result_counts, plane_statistics, look_distances, clip_shares, report_runs, report_frames, sidecar_rows, sidecar_texts, contact_sheet, move_plan,
+        result_counts, plane_statistics, look_distances, clip_shares, report_runs, report_frames,
     )
 }

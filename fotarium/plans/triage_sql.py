@@ -44,6 +44,21 @@ def _round(x: str, places: int) -> str:
     return _ROUND.format(x=f"({x})", p=places)
 
 
+_BARE = r"regexp_replace(lower(regexp_replace({x}, '[\s\x{{00A0}}]+', '', 'g')), '^sha-?256[:=]', '')"
+_CARD = "card as (select * from (select *, row_number() over (partition by file_id order by loaded_at desc) r from card_files where file_id is not null) where r = 1)"
+
+
+def _clean(x: str) -> str:
+    return f"case when regexp_matches({_BARE.format(x=x)}, '^[0-9a-f]{{64}}$') then {_BARE.format(x=x)} end"
+
+
+def _shift(dx: int, dy: int) -> str:
+    """The mean of the largest quarter of cell differences of lists a and b, b shifted by a cell."""
+    cells = f"list_transform(list_filter(range(64), lambda i: i % 8 + {dx} between 0 and 7 and i // 8 + {dy} between 0 and 7), lambda i: abs(a[i + 1] - b[i + 1 + {dx + 8 * dy}]))"
+    most = -(-(8 - abs(dx)) * (8 - abs(dy)) // 4)
+    return f"list_avg(list_slice(list_reverse_sort({cells}), 1, {most}))"
+
+
 _PLANE = "list_transform(embedding, lambda x: floor((cast(x as double) + 1) * 128))"
 _IOU_W = "greatest(0.0, least(l_quantity / 50, 0.5) - greatest(l_discount, 0.05))"
 _IOU_H = "greatest(0.0, least(0.9, 0.5) - greatest(l_tax, 0.02))"
@@ -56,7 +71,7 @@ SQL = {
   and coalesce(stars, 0) between 0 and 5 and (ev is null or (ev between -5 and 5 and not isnan(ev))) ok, count(*) n from label_log group by 1""",
     "manifest_fold": """with lines as (select distinct on (entry_id) * from manifest),
 keyed as (select *, lower(orig) orig_key, row_number() over (partition by lower(orig), size order by entry_id desc) back, min(entry_id) over (partition by lower(orig), size) first_id from lines)
-select orig_key, size, entry_id, dir, name, first_id, coalesce(nullif(trim(file_sha256), ''), sha256) current_sha256 from keyed where back = 1 and orig_key is not null and size is not null""",
+select orig_key, size, entry_id, dir, name, first_id, coalesce(nullif(trim(file_sha256), ''), sha256) current_sha256 from keyed where back = 1""",
     "effective_verdicts": _EFFECTIVE + " select frame_id, verdict, by_hand, stars from effective",
     "confusion_matrix": _JUDGED + " select * from matrix",
     "confusion_rates": _JUDGED
@@ -73,14 +88,14 @@ select count(*) filter (x = y) n, count(*) filter (x = y and d1 is not distinct
 group by 1, 2 having count(*) > 1""",
     "pending_files": """select distinct file_id, lower(orig) orig, size from card_files c
 where not exists (select 1 from manifest m where lower(m.orig) = lower(c.orig) and m.size = c.size)""",
-    "resume_states": """with l as (select src, max(size) size from card_files where src is not null group by src),
-r as (select src, max(size) size, max(sha256) digest from manifest where src is not null group by src)
+    "resume_states": f"""with {_CARD}, l as (select src, arg_max(size, file_id) size from card where src is not null group by src),
+r0 as (select *, row_number() over (partition by src order by entry_id desc) b from manifest where src is not null and entry_id is not null), r as (select src, size, {_clean("sha256")} digest from r0 where b = 1)
 select case when l.src is null then 'gone' when r.src is null then 'new' when l.size is not distinct from r.size and digest is not null then 'carried' else 'redo' end state, count(*) n
 from l full join r on l.src = r.src group by 1""",
-    "verify_files": """with r as (select lower(orig) orig, max(size) size, max(sha256) digest from manifest group by 1),
-l as (select lower(orig) orig, max(size) size, max(sha256) digest from card_files group by 1)
-select coalesce(r.orig, l.orig) orig, case when r.orig is null then 'unrecorded' when l.orig is null then 'missing' when r.size is distinct from l.size then 'size'
-  when r.digest is distinct from l.digest then 'digest' else 'same' end state from r full join l on r.orig = l.orig""",
+    "verify_files": f"""with {_CARD}, r0 as (select *, row_number() over (partition by lower(orig), size order by entry_id desc) b from manifest), r as (select lower(orig) orig, size, {_clean("coalesce(nullif(trim(file_sha256), ''), sha256)")} digest from r0 where b = 1),
+l0 as (select *, row_number() over (partition by lower(orig), size order by file_id desc) b from card), l as (select lower(orig) orig, size, {_clean("sha256")} digest from l0 where b = 1)
+select coalesce(r.orig, l.orig) orig, coalesce(r.size, l.size) size, case when r.orig is null then 'unrecorded' when l.orig is null then 'missing' when r.digest is distinct from l.digest then 'digest' else 'same' end state
+from r full join l on r.orig = l.orig and r.size = l.size""",
     "near_matches": """select distinct m.entry_id, l.log_id from (select distinct entry_id, dir, recorded_at from manifest) m join label_log l on m.dir = l.dir
 where abs(epoch_us(m.recorded_at) - epoch_us(l.logged_at)) <= 600000000""",
     "capture_order": rf"""with {_ONCE},
@@ -104,7 +119,10 @@ select dir, pairs, same, pairs >= 10 and same * 10 >= pairs * 9 broken from c"""
     + """, c as (select *, cast(ceil(set_size / 8.0) as bigint) chunks from ranked)
 select user_id, set_id, event_id, cast(floor((rank * chunks - 1) / set_size) as bigint) chunk, greatest(8 // chunks, cast(ceil(3.0 / chunks) as bigint), 1) finalists from c""",
     "upper_medians": f"with {_ONCE}, s as (select dir, list_sort(list(size)) l from once where size is not null group by dir) select dir, len(l) n, l[len(l) // 2 + 1] median from s",
-    "frame_numbers": rf"""with {_ONCE}, n as (select dir, frame_id, row_number() over (partition by dir order by file, frame_id) n from once where dir is not null)
+    "frame_numbers": rf"""with {_ONCE}, f as (select *, string_split(file, '/')[-1] base, string_split(file, '/')[-2] folder from once where dir is not null and file is not null),
+p as (select *, coalesce(try_cast(regexp_extract(folder, '^([1-9]\d\d)[A-Za-z0-9_]{{5}}$', 1) as int), 0) fo, coalesce(try_cast(regexp_extract(regexp_replace(base, '\.[^.]*$', ''), '^[A-Za-z0-9_]{{4}}(\d{{4}})$', 1) as int), -1) co from f),
+q as (select *, min(case when co >= 0 then fo end) over (partition by dir) least_fo from p),
+n as (select dir, frame_id, row_number() over (partition by dir order by case when co >= 0 then 0 else 1 end, case when co >= 0 and least_fo > 0 then fo else 0 end, greatest(co, 0), lower(base), file, frame_id) n from q)
 select frame_id, n, substr(dir, 9, 10) || '-set-' || printf('%04d', n) || '.dng' new_name, printf('%04d', n) back from n""",
     "name_collisions": f"with {_ONCE} select dir, 'x' || (size % 97) || '.dng' as name, count(*) n from once where dir is not null and size is not null group by 1, 2 having count(*) > 1",
     "ghost_names": f"""with {_ONCE} select distinct dir, lower(orig) orig, name from manifest m
@@ -133,25 +151,14 @@ from manifest where src is not null group by 1""",
     "plane_statistics": f"""with p as (select vec_id, {_PLANE} plane from embeddings),
 l as (select vec_id, plane, list_transform(list_filter(range(64), lambda i: i // 8 between 1 and 6 and i % 8 between 1 and 6),
   lambda i: 4 * plane[i + 1] - plane[i] - plane[i + 2] - plane[i - 7] - plane[i + 9]) lap from p)
-select vec_id, {_round("sqrt(list_var_pop(plane))", 4)} deviation, {_round("list_var_pop(lap)", 6)} laplacian, {_round("list_sum(plane) / 16", 4)} coarse from l""",
+select vec_id, {_round("sqrt(list_var_pop(plane))", 4)} deviation, {_round("list_var_pop(lap)", 6)} laplacian, {", ".join(_round(f"list_avg(list_transform(list_filter(range(64), lambda i: i // 32 = {b // 2} and (i % 8) // 4 = {b % 2}), lambda i: plane[i + 1]))", 4) + f" block{b}" for b in range(4))} from l""",
+    "look_distances": f"""with p as (select label, vec_id, {_PLANE} v from embeddings), q as (select label, vec_id, list_transform(v, lambda x: least(1.0, x / greatest(1.0, list_avg(v)) / 4)) a from p),
+w as (select label, vec_id, a, lag(vec_id) over (partition by label order by vec_id) before_id, lag(a) over (partition by label order by vec_id) b from q)
+select label, vec_id, before_id, {_round("least(1.0, " + ", ".join(_shift(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)) + ")", 9)} distance from w where before_id is not null""",
     "clip_shares": f"select l_linestatus channel, count(l_quantity) samples, {_round('100.0 * count(*) filter (l_quantity >= 49) / count(l_quantity)', 4)} clipped_pct from lineitem group by 1",
     "report_runs": f"""with {_REPORTS} select report_id, dir, cast(doc->>'$.schema_version' as int) schema_version, doc->>'$.backend' backend, doc->>'$.model' model,
   cast(coalesce(json_array_length(doc, '$.results'), 0) as int) n_results from known""",
     "report_frames": f"""with {_REPORTS}, r as (select report_id, cast(doc->>'$.schema_version' as int) v, unnest(cast(doc->'$.results' as json[])) r from known)
 select report_id, r->>'$.file' file, r->>'$.decision' decision, case when v >= 4 then cast(r->>'$.group.rank' as bigint) end rank,
   case when v >= 4 and json_type(r, '$.group') = 'OBJECT' then coalesce(r->>'$.group.best' = 'true', false) end best from r""",
-    "move_plan": f"""with {_ONCE} select frame_id, coalesce(moved_to, file) source, dir || '/' || decision || '/' || {_BASE} target from once
-where error is null and decision in ('keep', 'review', 'cull') and dir is not null and file is not null and coalesce(moved_to, file) is distinct from dir || '/' || decision || '/' || {_BASE}""",
 }
-_SUBJECTS = f"""case when evaluation.keywords is null then cast([] as varchar[]) else {_KEYWORDS} end"""
-_SIDE = (
-    _EFFECTIVE
-    + f""", marked as (select frame_id, stars, verdict, list_filter(['cull:' || verdict, case when by_hand then 'cull:labeled' end], lambda m: m is not null) m, {_SUBJECTS} k from effective),
-side as (select frame_id, case when stars > 0 then stars end rating, case verdict when 'keep' then 'Green' when 'review' then 'Yellow' when 'cull' then 'Red' end color, list_concat(m, k) subjects from marked)"""
-)
-SQL["sidecar_rows"] = _SIDE + " select frame_id, rating, color, array_to_string(subjects, '|') subjects from side"
-_ESC = "replace(replace(replace(replace(replace(s, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
-SQL["sidecar_texts"] = _SIDE + (
-    " select frame_id, '<rdf:Description' || case when rating is not null then ' xmp:Rating=\"' || rating || '\"' else '' end || case when color is not null then ' xmp:Label=\"' || color || '\"' else '' end || '>'"
-    f" || case when len(subjects) > 0 then '<dc:subject><rdf:Bag>' || array_to_string(list_transform(subjects, lambda s: '<rdf:li>' || {_ESC} || '</rdf:li>'), '') || '</rdf:Bag></dc:subject>' else '' end || '</rdf:Description>' xmp from side"
-)
