@@ -59,9 +59,16 @@ def list_key(files: Column) -> Column:
     return F.left(F.sha2(F.array_join(files, "\0"), 256), F.lit(16))
 
 
-def cache_name(base: Column, kind: Column, size: Column, mtime_ns: Column) -> Column:
-    """`base.kind.` and 4 bytes of the SHA-256 of the version (size, time), in hex."""
-    return F.concat_ws(".", base, kind, F.left(F.sha2(F.concat_ws("|", F.lit("v1"), size.cast("string"), mtime_ns.cast("string")), 256), F.lit(8)))
+def cache_name(base: Column, kind: Column, size: Column, mtime_ns: Column, extra: Column | None = None) -> Column:
+    """`base.kind.` and 4 bytes of the SHA-256 of the version (size, time, and what else the image depends on, such as
+    box_text()), in hex."""
+    parts = [F.lit("v1"), size.cast("string"), mtime_ns.cast("string"), *([] if extra is None else [extra])]
+    return F.concat_ws(".", base, kind, F.left(F.sha2(F.concat_ws("|", *parts), 256), F.lit(8)))
+
+
+def box_text(left: Column, top: Column, right: Column, bottom: Column) -> Column:
+    """A box as text with four places a side."""
+    return F.concat_ws(",", *[F.format_string("%.4f", c) for c in (left, top, right, bottom)])
 
 
 def dcf_folder(path: Column) -> Column:

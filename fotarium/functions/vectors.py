@@ -73,7 +73,7 @@ def laplacians(planes: np.ndarray) -> np.ndarray:
     if min(planes.shape[1:]) < 3:
         return np.zeros(len(planes))
     inner = 4 * planes[:, 1:-1, 1:-1] - planes[:, 1:-1, :-2] - planes[:, 1:-1, 2:] - planes[:, :-2, 1:-1] - planes[:, 2:, 1:-1]
-    return inner.reshape(len(planes), -1).var(axis=1)
+    return inner.reshape(len(planes), inner.shape[1] * inner.shape[2]).var(axis=1)
 
 
 def reduced(planes: np.ndarray, factor: int) -> np.ndarray:
@@ -99,7 +99,7 @@ def box_down(plane: Column, side: int, factor: int) -> Column:
     @F.pandas_udf("array<double>")
     def run(planes: pd.Series) -> pd.Series:
         ok, data = stacked(planes, side * side)
-        small = reduced(data.reshape(-1, side, side), factor).reshape(len(ok), -1)
+        small = reduced(data.reshape(-1, side, side), factor).reshape(len(ok), (side // factor) ** 2)
         out: list = [None] * len(planes)
         for i, p in zip(ok, small, strict=True):
             out[i] = p

@@ -67,6 +67,19 @@ def policy_grid(judged: DataFrame, outranked: Column, clipped: Column, keeps: tu
     return out.withColumns({"good": F.col("false_cull") < 0.01, "current": now})
 
 
+def total_in(usage: Column) -> Column:
+    """All tokens that went in: plain ones and those written to or read from a cache."""
+    return sum((F.coalesce(usage[c], F.lit(0)) for c in ("cache_creation_input_tokens", "cache_read_input_tokens")), F.coalesce(usage["input_tokens"], F.lit(0)))
+
+
+def edge_summary(frames: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys..., n, least, median, most) of a measure such as the long edge; the median is the upper one."""
+    from fotarium.operators.order import upper_median
+
+    ends = frames.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.min(value).alias("least"), F.max(value).alias("most"))
+    return upper_median(frames, keys, value).join(ends, keys).select(*keys, "n", "least", "median", "most")
+
+
 def paid_work(frames: DataFrame) -> DataFrame:
     """One row (evaluated, moved): what a fresh run would lose."""
     return frames.agg(F.count("evaluation").alias("evaluated"), F.count(F.nullif("moved_to", F.lit(""))).alias("moved"))

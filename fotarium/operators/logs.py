@@ -145,6 +145,13 @@ def verify(recorded: DataFrame, listing: DataFrame, key: list[str], size: str, d
     return both.select(*key, state.alias("state"))
 
 
+def content_match(size_a: Column, size_b: Column, digest_a: Column, digest_b: Column) -> Column:
+    """Whether two matched files hold the same: `same` or `other` by size and digests (however written), `unverified` where a
+    digest is missing and the sizes are equal."""
+    a, b = digest_text(digest_a), digest_text(digest_b)
+    return F.when(~size_a.eqNullSafe(size_b), "other").when(a.isNull() | b.isNull(), "unverified").when(a == b, "same").otherwise("other")
+
+
 def near_match(left: DataFrame, right: DataFrame, keys: list[str], left_us: str, right_us: str, within_us: int) -> DataFrame:
     """Pairs equal in `keys` whose times differ by at most `within_us`: an equi join on keys and a time
     bucket of that width (the right side in its own and both next buckets), then the exact test,

@@ -8,20 +8,20 @@ from pyspark.sql.window import Window
 
 from fotarium.functions import vectors as V
 from fotarium.functions.scalars import round_half_away
-from fotarium.operators.ranges import with_previous
+from fotarium.operators.ranges import with_previous, with_running_sum
 
 
 def luma_statistics(pixels: DataFrame, keys: list[str], value: str, dark: float = 3, shadow: float = 16, bright: float = 250) -> DataFrame:
     """Per key: n, mean (1 place), p1, p50, p99 (the first value whose count reaches ceil(p * n)), and shares in
     percent at most `dark`, below `shadow`, at least `bright`.
 
-    Values are counted first: percentiles walk a histogram as wide as there are distinct values,
-    so a key of any size meets no single task with its pixels."""
+    Values are counted first, and the counts summed up in range partitions, so a key with any number of
+    pixels, or of distinct values, meets no single task."""
     counts = pixels.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
     share = lambda test: round_half_away(100.0 * F.sum(F.when(test, F.col("c")).otherwise(0)) / F.sum("c"), 4)
-    upto = F.sum("c").over(Window.partitionBy(*keys).orderBy(value))
-    every = F.sum("c").over(Window.partitionBy(*keys))
-    walked = counts.withColumns({"u": upto, "n": every})
+    walked = with_running_sum(counts, keys, [value], "c", "u", "luma")
+    every = walked.groupBy(*keys).agg(F.sum("c").alias("n"))
+    walked = walked.join(every, keys)
     first = lambda p: F.min(F.when(F.col("u") >= F.ceil(F.lit(p) * F.col("n")), F.col(value)))
     v = F.col(value)
     return walked.groupBy(*keys).agg(
@@ -91,11 +91,11 @@ def noise_and_floor(cells: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., noise, floor) of a frame's cells (`fine`, `coarse`, `mean`), see landed_cells()."""
     listed = lambda test, c: F.sort_array(F.collect_list(F.when(test, F.col(c))))
     clear = (F.col("fine") > 0) & F.col("mean").between(16, 239)
-    sorted_ = cells.groupBy(*keys).agg(listed(F.lit(True), "fine").alias("f"), listed(F.lit(True), "coarse").alias("c"), listed(clear, "fine").alias("m"))
-    m, n, nc = F.when(F.size("m") > 0, F.col("m")).otherwise(F.col("f")), F.size("f"), F.size("c")
+    sorted_ = cells.groupBy(*keys).agg(listed(F.lit(True), "fine").alias("_f"), listed(F.lit(True), "coarse").alias("_c"), listed(clear, "fine").alias("_m"))
+    m, n, nc = F.when(F.size("_m") > 0, F.col("_m")).otherwise(F.col("_f")), F.size("_f"), F.size("_c")
     at = lambda a, i: F.try_element_at(a, (i + 1).cast("int"))
     quarter = F.greatest(F.lit(1), F.floor(nc / 4))
-    return sorted_.select(*keys, at(m, F.floor(F.size(m) / 10)).alias("noise"), F.greatest(at(F.col("f"), F.floor(n / 2)) / 4, at(F.col("c"), nc - quarter)).alias("floor"))
+    return sorted_.select(*keys, at(m, F.floor(F.size(m) / 10)).alias("noise"), F.greatest(at(F.col("_f"), F.floor(n / 2)) / 4, at(F.col("_c"), nc - quarter)).alias("floor"))
 
 
 def best_face(faces, least: float = 0.0):

@@ -115,6 +115,19 @@ def best_of(sets: DataFrame, keys: list[str], by: list[Column], keep: int) -> Da
     return ranked.withColumn("best", F.col("rank") <= max(1, keep))
 
 
+def score_order(pos: str, evaluation: str = "evaluation") -> list[Column]:
+    """The order of a set by scores: assessed frames first, then by sharpness, open eyes, composition and exposure;
+    equal ones in capture order."""
+    e = lambda path: F.col(f"{evaluation}.{path}")
+    return [F.col(evaluation).isNull(), e("sharpness.score").desc(), (~F.coalesce(e("people.eyes") == "open", F.lit(False))), e("composition.score").desc(), e("exposure.score").desc(), F.col(pos)]
+
+
+def event_orders(events: DataFrame, group: str, path: str) -> DataFrame:
+    """Add `event_pos` (from 0): the place of each file in its event (events_of()), back in camera order."""
+    keyed = camera_order(events, group, path)
+    return with_rank(keyed, [*CAMERA_KEYS, path], "event-order", "event_pos", [group, "event_no"]).drop(*CAMERA_KEYS)
+
+
 def chunk_of(pos: Column, n: Column, most: int = 8) -> tuple[Column, Column]:
     """(chunk, chunks): the part of a set of n that position `pos` falls in, of ceil(n / most) parts as equal
     as they can be."""

@@ -284,11 +284,51 @@ def fixed_dates(spark, base):
     return frames.select("frame_id", shots.redated(F.col("exif.date_time_original"), "2025-09-14", "2025-10-01").alias("redated"), shots.quoted_shell(F.col("file")).alias("word"), shots.quoted_script(F.col("file")).alias("quoted"))
 
 
+def _timed(spark, base) -> DataFrame:
+    frames = frames_once(spark, base).filter("dir is not null and file is not null")
+    frames = frames.select("frame_id", "dir", "file", "evaluation", F.col("exif.date_time_original").alias("value"), F.col("exif.subsec").alias("fraction"))
+    return normalise_times(frames, "value", "_instant", fraction="fraction", wall="at").filter("at is not null").select("frame_id", "dir", "file", "at", "evaluation")
+
+
+def frame_sets(spark, base):
+    items = _timed(spark, base).select("dir", "at", "frame_id")
+    return order.sequences(items, "dir", ["at", "frame_id"], ["at"], (F.col("at") - F.col("before_at")).between(0, 60_000_000)).select("dir", "set_id", "frame_id", "set_size")
+
+
+def score_ranks(spark, base):
+    sets = order.sequences(_timed(spark, base).select("dir", "at", "frame_id"), "dir", ["at", "frame_id"], ["at"], (F.col("at") - F.col("before_at")).between(0, 60_000_000))
+    frames = frames_once(spark, base).select("frame_id", "evaluation")
+    ranked = order.best_of(sets.join(frames, "frame_id").withColumn("pos", F.struct("at", "frame_id")), ["dir", "set_id"], order.score_order("pos"), 2)
+    return ranked.select("dir", "set_id", "frame_id", "rank", "best")
+
+
+def event_orders(spark, base):
+    events = order.events_of(_timed(spark, base).drop("evaluation"), "dir", "at", "frame_id")
+    return order.event_orders(events, "dir", "file").select("frame_id", "event_no", "event_pos")
+
+
+def edge_summary(spark, base):
+    return compare.edge_summary(table(spark, base, "part"), ["p_brand"], "p_size")
+
+
+def name_keys(spark, base):
+    frames = frames_once(spark, base).filter("file is not null and dir is not null")
+    box = S.box_text(F.lit(0.1), F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    return frames.select("frame_id", S.list_key(F.array("file", "dir")).alias("key"), S.cache_name(S.base_name(F.col("file")), F.lit("subject"), F.col("size"), _micros("mod_time") * 1000, box).alias("cache"), logs.card_name(F.col("file"), F.lit("x")).alias("card"))
+
+
+def matched_contents(spark, base):
+    cards = table(spark, base, "card_files").filter("file_id is not null").groupBy("file_id").agg(F.min(F.struct("orig", "size", "sha256")).alias("r")).select("file_id", F.lower("r.orig").alias("orig_key"), F.col("r.size").alias("_s"), F.col("r.sha256").alias("_h"))
+    met = cards.join(_folded(spark, base).select("orig_key", "size", "entry_id", "current_sha256"), "orig_key")
+    return met.select("file_id", "entry_id", logs.content_match(F.col("size"), F.col("_s"), F.col("current_sha256"), F.col("_h")).alias("content"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         sidecar_rows, sidecar_texts, script_rows, contact_sheet, move_plan, cull_moves, restore_plan, manifest_frames, capture_days, capture_order_timed, calibration_summary, set_statistics,
         policy_grid, status_counts, paid_work, run_safety, junk_kinds, landed_cells, next_numbers, events_at_names, order_changes, earliest_captures, space_needed, copy_summary, moved_files, found_paths,
         renamed_paths, request_batches, rank_calls, final_positions, uncharged_answers, clamped_scores, frame_predicates, pixel_boxes, camera_texts, tag_rows, answers, look_codes, fixed_dates,
+        frame_sets, score_ranks, event_orders, edge_summary, name_keys, matched_contents,
     )
 }

@@ -56,6 +56,14 @@ _LINE = f"""{_FOLDED}, line as (select * from (select *, row_number() over (part
 framed as (select o.*, l.entry_id, nullif(trim(l.dates_set), '') dates_set, l.src, l.orig, coalesce(nullif(trim(l.file_sha256), ''), l.sha256) h
   from once o left join line l on o.dir = l.dir and lower(string_split(o.file, '/')[-1]) = lower(l.orig) where o.file is not null)"""
 _MOVED = "'/' || array_to_string(string_split(file, '/')[2:-2], '/') || '/{place}/' || string_split(file, '/')[-1]"
+_WALL = rf"""{_CAMERA},
+wp as (select *, regexp_extract(trim(exif.date_time_original), '^(\d{{4}})[-:/](\d\d)[-:/](\d\d)[T ](\d\d:\d\d:\d\d)(?:\.(\d+))?(?:Z|[+-]\d\d:?\d\d)?$', ['y', 'm', 'd', 't', 'own']) p from camera),
+timed as (select * from (select *, case when p.y <> '' and p.y not in ('0000', '0001') then epoch_us(try_cast(p.y || '-' || p.m || '-' || p.d || ' ' || p.t as timestamp)) + cast(rpad(substr(case when regexp_matches(p.own, '^[0-9]+$') then p.own
+  when regexp_matches(trim(exif.subsec), '^[0-9]+$') then trim(exif.subsec) else '' end, 1, 6), 6, '0') as bigint) end wall from wp) where wall is not null)"""
+_FRAME_SETS = f"""with {_ONCE}, {_WALL}, o as (select *, lag(wall) over (partition by dir order by wall, frame_id) pw, row_number() over (partition by dir order by wall, frame_id) rn from timed),
+l as (select *, case when wall - pw between 0 and 60000000 then 0 else 1 end brk from o), i as (select *, sum(brk) over (partition by dir order by rn rows unbounded preceding) isl from l),
+ct as (select *, (row_number() over (partition by dir, isl order by rn) - 1) // 40 cut from i), sz as (select *, count(*) over (partition by dir, isl, cut) set_size from ct),
+fsets as (select *, dense_rank() over (partition by dir order by isl, cut) set_id from sz where set_size > 1)"""
 _LABELS = "case e.event_type when 'purchase' then 'keep' when 'click' then 'review' when 'view' then 'cull' end"
 _LABELLED = _RANKED + f""", labelled as (select r.*, e.value, {_LABELS} as "label" from ranked r join events e on r.user_id = e.user_id and r.event_id = e.event_id)"""
 _GRID = ", ".join(f"coalesce(sum(case when \"label\" = '{a}' and d = {i} then 1 end), 0) {a}_{b}" for a in ("keep", "review", "cull") for i, b in enumerate(("keep", "review", "cull")))
@@ -93,11 +101,7 @@ select * from m where target is not null and source is distinct from target""",
     "capture_days": rf"""with {_ONCE}, {_LINE}, d as (select frame_id, nullif(regexp_extract(replace(dates_set, '-', ''), '^(\d{{8}})', 1), '') own, nullif(regexp_extract(replace(exif.date_time_original, ':', ''), '^(\d{{8}})', 1), '') cam,
   nullif(replace(regexp_extract(dir, '(?:^|/)(\d{{4}}-\d{{2}}-\d{{2}})[^/]*$', 1), '-', ''), '') fold from framed)
 select frame_id, coalesce(own, case when cam <> '00000000' then cam end, fold) as "day" from d""",
-    "capture_order_timed": rf"""with {_ONCE}, {_CAMERA},
-p as (select *, regexp_extract(trim(exif.date_time_original), '^(\d{{4}})[-:/](\d\d)[-:/](\d\d)[T ](\d\d:\d\d:\d\d)(?:\.(\d+))?(?:Z|[+-]\d\d:?\d\d)?$', ['y', 'm', 'd', 't', 'own']) p from camera),
-w as (select *, case when p.y <> '' and p.y not in ('0000', '0001') then epoch_us(try_cast(p.y || '-' || p.m || '-' || p.d || ' ' || p.t as timestamp)) + cast(rpad(substr(case when regexp_matches(p.own, '^[0-9]+$') then p.own
-  when regexp_matches(trim(exif.subsec), '^[0-9]+$') then trim(exif.subsec) else '' end, 1, 6), 6, '0') as bigint) end at_us from p),
-t as (select *, bool_and(at_us is not null) over (partition by dir) timed from w)
+    "capture_order_timed": f"""with {_ONCE}, {_WALL}, t as (select c.*, w.wall at_us, bool_and(w.wall is not null) over (partition by c.dir) timed from camera c left join timed w on c.frame_id = w.frame_id)
 select dir, frame_id, row_number() over (partition by dir order by case when timed then at_us else 0 end, k1, k2, k3, k4, file) - 1 pos from t""",
     "calibration_summary": f"""with {_ONCE}, {_FOLD}, l as (select dir, file, label from marks where coalesce(label, '') <> ''),
 f as (select dir, {_BASE} name, moved_to is not null and decision = 'cull' junk from once where ((evaluation is not null and moved_to is null) or (moved_to is not null and decision = 'cull')) and coalesce(error, '') = '' and coalesce(decision, '') <> ''),
@@ -120,6 +124,19 @@ select m.*, coalesce(keep_cull / nullif(keep_keep + keep_review + keep_cull, 0),
 select count(*) filter (bad) errors, count(*) filter (not bad and done) assessed, count(*) filter (junked) junk, count(*) filter (((not bad and done) or junked) and decision = 'keep') keep,
   count(*) filter (((not bad and done) or junked) and decision = 'review') review, count(*) filter (((not bad and done) or junked) and decision = 'cull') cull, count(mark) labelled, count(*) filter (stars > 0) rated,
   count(*) filter (nullif(decision, '') is not null and mark <> decision) disagree, count(nullif(moved_to, '')) moved from s""",
+    "frame_sets": _FRAME_SETS + " select dir, set_id, frame_id, set_size from fsets",
+    "score_ranks": _FRAME_SETS
+    + """, r as (select *, row_number() over (partition by dir, set_id order by evaluation is null, evaluation.sharpness.score desc nulls last, not coalesce(evaluation.people.eyes = 'open', false),
+  evaluation.composition.score desc nulls last, evaluation.exposure.score desc nulls last, wall, frame_id) rank from fsets) select dir, set_id, frame_id, rank, rank <= 2 best from r""",
+    "event_orders": f"""with {_ONCE}, {_WALL}, o as (select *, lag(wall) over (partition by dir order by wall, frame_id) pw from timed),
+n as (select *, sum(case when pw is null or wall - pw > 7200000000 or wall // 86400000000 <> pw // 86400000000 then 1 else 0 end) over (partition by dir order by wall, frame_id rows unbounded preceding) ev from o),
+e as (select *, min(case when co >= 0 then fo end) over (partition by dir) lf from n)
+select frame_id, cast(ev as bigint) event_no, row_number() over (partition by dir, ev order by k1, case when co >= 0 and lf > 0 then fo else 0 end, k3, k4, file) - 1 event_pos from e""",
+    "edge_summary": "select p_brand, count(p_size) n, min(p_size) least, list_sort(list(p_size))[count(p_size) // 2 + 1] median, max(p_size) most from part where p_size is not null group by p_brand",
+    "name_keys": f"""with {_ONCE} select frame_id, left(sha256(file || chr(0) || dir), 16) as "key", {_BASE} || '.subject.' || left(sha256('v1|' || size || '|' || epoch_us(mod_time) * 1000 || '|0.1000,0.2500,0.5000,0.7500'), 8) "cache",
+  string_split(file, '/')[-2] || '/' || {_BASE} card from once where file is not null and dir is not null""",
+    "matched_contents": f"""with {_CARDS}, {_FOLDED}, m as (select c.file_id, l.entry_id, l.size is distinct from c.size diff, {_digest("coalesce(nullif(trim(l.file_sha256), ''), l.sha256)")} a, {_digest("c.sha256")} b from cards c join last l on lower(c.orig) = lower(l.orig))
+select file_id, entry_id, case when diff then 'other' when a is null or b is null then 'unverified' when a = b then 'same' else 'other' end content from m""",
     "paid_work": f"with {_ONCE} select count(evaluation) evaluated, count(nullif(moved_to, '')) moved from once",
     "run_safety": f"""with {_CARDS}, s as (select case when {_digest("sha256")} is null then 'failed' when file_id % 5 = 0 then 'skipped' else 'copied' end st, coalesce(not unverified, false) ok from cards),
 c as (select count(*) planned, count(*) filter (st = 'copied') copied, count(*) filter (st = 'skipped') skipped, count(*) filter (st = 'failed') failed, count(*) filter (st = 'copied' and not ok) unverified from s)

@@ -6,9 +6,10 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fotarium.functions.scalars import keywords
 from fotarium.operators.ranges import with_rank
 from fotarium.session import materialize
 
@@ -120,6 +121,17 @@ def shoot_files(spark: SparkSession, path: str, places: tuple[str, ...] = ("keep
     return every.withColumn("place", F.when(F.col("place").isin(*places), F.col("place")).otherwise(""))
 
 
+# Fixed value: the shape of an assessment as models answer it.
+EVALUATION = "sharpness struct<score:double,status:string>, exposure struct<score:double,status:string,ev_adjust:double>, composition struct<score:double,status:string,crop:struct<apply:boolean,left:double,top:double,right:double,bottom:double>>, people struct<present:boolean,eyes:string,expression:string>, notes string, keywords array<string>"
+
+
+def decoded_evaluation(answer: Column) -> Column:
+    """An assessment from a model's JSON, its keywords cleaned; null for no JSON object."""
+    value = F.from_json(answer, EVALUATION, {"mode": "PERMISSIVE"})
+    known = F.try_parse_json(answer).isNotNull() & F.startswith(F.trim(answer), F.lit("{"))
+    return F.when(known, value.withField("keywords", keywords(F.filter(value["keywords"], lambda w: w.isNotNull()))))
+
+
 def batch_results(spark: SparkSession, path: str) -> DataFrame:
     """(custom_id, state, message) of a results file (JSON lines) of an asynchronous batch."""
     rows = spark.read.schema("custom_id string, result struct<type:string,error:struct<message:string>>").json(path, mode="DROPMALFORMED")

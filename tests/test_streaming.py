@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from fotarium.operators.logs import fold_last
-from fotarium.streaming.folds import current, fold_stream, standing
+from fotarium.streaming.folds import current, fold_stream, merge_batch, standing
 
 SCHEMA = "log_id bigint, file string, label string"
 
@@ -20,7 +20,19 @@ def test_fold_over_restarts(spark, tmp_path):
     want = fold_last(spark.createDataFrame(rows, SCHEMA), ["file"], "log_id")
     empty = F.col("label") == ""
     assert sorted(map(tuple, standing(current(spark, out), empty).select("file", "log_id").collect())) == sorted(map(tuple, want.filter(~empty).select("file", "log_id").collect()))
-    assert len(list((tmp_path / "out").glob("batch=*"))) <= 2
+    assert len(list((tmp_path / "out" / "index").glob("*.json"))) <= 2
+
+
+def test_only_touched_parts_are_written(spark, tmp_path):
+    out = str(tmp_path / "fold")
+    rows = [(i, f"f{i}", "keep") for i in range(300)]
+    assert merge_batch(spark.createDataFrame(rows, SCHEMA), ["file"], "log_id", out, 0, parts=16) == 16
+    again = spark.createDataFrame([(900, "f7", "cull"), (1, "f7", "review")], SCHEMA)
+    assert merge_batch(again, ["file"], "log_id", out, 1, parts=16) == 1
+    assert merge_batch(again, ["file"], "log_id", out, 1, parts=16) == 0
+    got = {r["file"]: (r["log_id"], r["label"]) for r in current(spark, out).collect()}
+    assert len(got) == 300 and got["f7"] == (900, "cull")
+    assert merge_batch(again.limit(0), ["file"], "log_id", out, 2, parts=16) == 0 and current(spark, out).count() == 300
 
 
 def test_nothing_yet(spark, tmp_path):
