@@ -37,7 +37,8 @@ def merge_sessions(events: DataFrame, key: str, at_us: str, gap_us: int = GAP_US
     final, and only the first and the last of each partition (two rows a partition) can touch
     a neighbour and go through the last merge."""
     points = only(events, key, at_us).select(F.col(key).alias("key"), F.col(at_us).cast("bigint").alias("at")).filter(F.col("key").isNotNull() & F.col("at").isNotNull())
-    points = points.groupBy("key", "at").agg(F.count(F.lit(1)).alias("n"))
+    # written, as range partitions read their input twice and what gave the times may be dear
+    points = materialize(points.groupBy("key", "at").agg(F.count(F.lit(1)).alias("n")), "points")
     found = merge_intervals(points.select("key", F.col("at").alias("start"), F.col("at").alias("end"), "n"), gap_us, label)
     return found.select(F.col("key").alias(key), F.col("start").alias("start_us"), F.col("end").alias("end_us"), "n")
 
