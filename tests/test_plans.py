@@ -286,3 +286,39 @@ def test_answers_of_models_and_contents(spark):
     faces = spark.createDataFrame([([(9.0, 1.0), (5.0, 8.0), (4.0, 99.0), (9.0, 2.0)],), ([],), (None,)], "f array<struct<q:double,area:double>>")
     assert [r["b"] and tuple(r["b"]) for r in faces.select(measure.best_face(F.col("f"), 3.0).alias("b")).collect()] == [(8.0, 5.0), None, None]
     assert [[tuple(x) for x in r["b"] or []] for r in faces.select(measure.faces_by_certainty(F.col("f"), 5.0).alias("b")).collect()] == [[(9.0, 2.0), (9.0, 1.0), (5.0, 8.0)], [], []]
+
+
+def test_camera_order_card_by_card(spark):
+    paths = [(0, "/a/101CORVN/L1230002.DNG"), (0, "/a/100CORVN/L1239999.DNG"), (0, "/a/notes.dng"), (1, "/b/x/L1230009.DNG"), (1, "/b/101CORVN/L1230001.DNG")]
+    df = order.camera_order(spark.createDataFrame(paths, "root int, path string"), "root", "path")
+    got = [r["path"].rsplit("/")[-1] for r in df.orderBy("root", *order.CAMERA_KEYS, "path").collect()]
+    assert got == ["L1239999.DNG", "L1230002.DNG", "notes.dng", "L1230001.DNG", "L1230009.DNG"]  # folders count on the first card alone
+
+
+def test_final_round_and_calls(spark):
+    df = spark.createDataFrame([("s", c, r, 4 * c + r) for c in range(3) for r in range(1, 5)], "k string, chunk int, chunk_rank int, pos int")
+    assert order.final_positions(df, ["k"], 3).first()["positions"] == [1, 2, 5, 6, 9, 10]
+    sets = spark.createDataFrame([(1, None), (2, "scores"), (9, "model"), (17, None)], "of int, by string")
+    assert rows(order.to_rank(sets), "of") == [(2,), (17,)] and rows(order.to_rank(sets, True), "of") == [(2,), (9,), (17,)]
+    assert [tuple(r) for r in sets.select(order.rank_calls(F.col("of")), order.rank_calls(F.col("of"), True)).collect()] == [(1, 2), (1, 2), (3, 3), (4, 4)]
+
+
+def test_hot_groups_in_sequences(spark):
+    rnd = random.Random(6)
+    items = [("hot" if i % 9 else "b", i, rnd.random()) for i in range(3000)]
+    want, run, last = {}, {}, {}
+    sizes = {}
+    for g, i, v in items:
+        linked = g in last and abs(v - last[g]) < 0.93
+        run.setdefault(g, [])
+        if not linked or len(run[g][-1]) == 40:
+            run[g].append([])
+        run[g][-1].append(i)
+        last[g] = v
+    for g, runs in run.items():
+        for k, members in enumerate([m for m in runs if len(m) > 1]):
+            want |= {i: (g, k + 1) for i in members}
+            sizes |= dict.fromkeys(members, len(members))
+    df = spark.createDataFrame(items, "g string, i int, v double")
+    got = order.sequences(df, "g", ["i"], ["v"], F.abs(F.col("v") - F.col("before_v")) < 0.93).collect()
+    assert {r["i"]: (r["g"], r["set_id"]) for r in got} == want and {r["i"]: r["set_size"] for r in got} == sizes
