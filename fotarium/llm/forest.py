@@ -141,8 +141,8 @@ class HashForest:
         empty = cls(spark, path or f"{shared_dir(spark)}/fotarium/forest-{uuid.uuid4().hex}")
         sizes = _digest_sizes(history if known is None else history.unionByName(known))
         sizes = materialize(sizes, "sizes")
-        postings = materialize(_folded(_postings(history, sizes)), "postings")
-        return empty._with_placeholders(sizes.filter("low < high").select("digest"))._grown(postings, postings.count())
+        rows = 3 * history.count() + sizes.count()
+        return empty._with_placeholders(sizes.filter("low < high").select("digest"))._grown(_postings(history, sizes), rows)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> HashForest:
