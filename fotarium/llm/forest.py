@@ -35,6 +35,9 @@ EXACT = {"content": ["digest"], "name": ["name", "size"], "sizes": ["digest"]}
 SAMPLE = 256
 #: Up to so many ranges are pushed into the scan as filters on the label.
 PUSHED = 32
+#: Probes of a batch of up to so many rows are sent to the tasks that read the touched files; those of larger
+#: batches are joined by a shuffle of both.
+SENT = 100_000
 #: Runs of a tier that are merged into one of the next.
 FAN = 4
 ROWS_A_FILE = 1_000_000
@@ -258,10 +261,11 @@ class HashForest:
         numbers = prefixes.select("at").mapInArrow(run, "n int").distinct().collect()  # at most a row a file
         return [flat[r["n"]] for r in numbers]
 
-    def ranges(self, tree: str, probes: DataFrame, width: int, drawn: list[str] | None = None) -> DataFrame | None:
+    def ranges(self, tree: str, probes: DataFrame, width: int, drawn: list[str] | None = None, few_rows: bool = False) -> DataFrame | None:
         """All postings in the ranges of the probes (EXACT keys, `at`: a prefix of `width`) that pass the
         exact check, beside the probe; null if no file is touched. Probes are one row per distinct
-        key and prefix, so no hot key meets a hot key. `drawn`: all prefixes, where they are a sample."""
+        key and prefix, so no hot key meets a hot key. `drawn`: all prefixes, where they are a sample;
+        `few_rows`: the probes are known to be at most SENT."""
         few = drawn or sorted({r["at"] for r in probes.select("at").distinct().limit(PUSHED + 1).collect()})
         files = self._touched(tree, few if drawn or len(few) <= PUSHED else probes, width)
         self.read.append((tree, len(files), sum(f.rows for f in files)))
@@ -271,7 +275,7 @@ class HashForest:
         if len(few) <= PUSHED:
             rows = rows.filter(reduce(Column.__or__, [F.col("label").between(at, at + "~") for at in few]))
         asked = probes.withColumnsRenamed({c: f"p_{c}" for c in (*EXACT[tree], "label") if c in probes.columns})
-        met = rows.join(asked, F.substring("label", 1, width) == F.col("at"))
+        met = rows.join(F.broadcast(asked) if few_rows or drawn else asked, F.substring("label", 1, width) == F.col("at"))
         for c in EXACT[tree]:
             met = met.filter(F.col(c) == F.col(f"p_{c}"))
         return met.drop(*[f"p_{c}" for c in EXACT[tree]])
@@ -301,7 +305,7 @@ class HashForest:
         self.measured[tree] = recall
         return next((w for w in WIDTHS if w == complete or (target < 1 and recall.get(w, 0.0) >= target)), complete)
 
-    def _search(self, tree: str, written: DataFrame, rows: DataFrame, false_: DataFrame, target: float, names: tuple[str, str]) -> DataFrame:
+    def _search(self, tree: str, written: DataFrame, rows: DataFrame, false_: DataFrame, target: float, names: tuple[str, str], few_rows: bool) -> DataFrame:
         """`rows` with the least id of the postings that each meets in a tree, as `names`; `written` are
         the same rows as a table that is cheap to read again."""
         label = _label(tree, F.col("digest"))
@@ -309,7 +313,7 @@ class HashForest:
             return rows.withColumns({n: F.lit(None).cast("bigint") for n in names})
         labels = written.select(*EXACT[tree], label.alias("label")).filter(F.col("label").isNotNull())
         width = self.widened(tree, labels, target)
-        met = self.ranges(tree, labels.select(*EXACT[tree], F.substring("label", 1, width).alias("at")).distinct(), width)
+        met = self.ranges(tree, labels.select(*EXACT[tree], F.substring("label", 1, width).alias("at")).distinct(), width, few_rows=few_rows)
         if met is None:
             return rows.withColumns({n: F.lit(None).cast("bigint") for n in names})
         least = self._least(tree, met, false_, [*EXACT[tree], "at"]).withColumnsRenamed({"any_id": names[0], "bare_id": names[1]})
@@ -335,8 +339,9 @@ class HashForest:
         rows = rows.join(false_.select("digest", F.lit(True).alias("false_")), "digest", "left")
         rows = rows.withColumn("digest", F.when(F.col("false_").isNull(), F.col("digest"))).drop("false_")
         rows = materialize(rows, "batch")
-        held = forest._search("content", rows, rows, false_, target, ("c_id", "c_bare"))
-        held = forest._search("name", rows, held, false_, target, ("n_id", "b_id"))
+        few = rows.count() <= SENT
+        held = forest._search("content", rows, rows, false_, target, ("c_id", "c_bare"), few)
+        held = forest._search("name", rows, held, false_, target, ("n_id", "b_id"), few)
         old = F.least("c_id", F.when(F.col("digest").isNull(), F.col("n_id")).otherwise(F.col("b_id")))
         held = materialize(held.select("id", "size", "name", "digest", old.alias("old_id")), "held")
         new = _settled(held)
