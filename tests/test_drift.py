@@ -2,10 +2,14 @@ import json
 import random
 import time
 from datetime import datetime, timedelta
+from difflib import SequenceMatcher
+from itertools import permutations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from fotarium.functions.jsonfields import assign, canonical, most_pairs, renames
+from fotarium.functions import jsonfields
+from fotarium.functions.jsonfields import assign, canonical, likeness, most_pairs, renames
 from fotarium.operators.drift import field_changes, report_frames, report_runs, unified_reports
 
 SCHEMA = "report_id bigint, dir string, generated_at timestamp, raw string, loaded_at timestamp, change string, DIR string"
@@ -128,3 +132,58 @@ def test_runs_and_frames_as_typed_tables(spark):
     few = report_frames(unified, most=1).collect()
     assert sum(len(r["rest"]) for r in few) + sum(r[4] is not None for r in few) == unified.filter("frame <> ''").count()
     assert report_runs(unified.limit(0)).collect() == []
+
+
+def words(rnd, n, size=8):
+    return sorted({"".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size)) for _ in range(n)})
+
+
+def test_renames_are_matched_in_one_way_at_any_number_of_fields():
+    rnd = random.Random(7)
+    for n in (3, 149, 150, 151, 152, 400):
+        olds = words(rnd, n)
+        side = lambda names: [(name, "boolean", {0: 1}) for name in sorted(names)]
+        want = {name: f"new_{name}" for name in olds}
+        assert dict(renames(side(olds), side(want.values()))) == want
+        # more old than new fields, and fields of other values beside them
+        few = dict(list(want.items())[: n * 2 // 3])
+        other = [(f"other{i}", "number", {0: i + 2}) for i in range(40)]
+        got = renames(sorted(side(olds) + other), sorted(side(few.values()) + [(f"{q}x", *rest) for q, *rest in other]))
+        assert dict(got) == few | {q: f"{q}x" for q, *_ in other}
+
+
+def test_many_equal_fields_of_a_report_keep_their_names_apart(spark):
+    olds = words(random.Random(8), 160)
+    got = changes(spark, [dict.fromkeys(olds, True), {f"new_{x}": True for x in olds}])
+    assert got == [(2, "renamed", x, f"new_{x}") for x in olds]
+
+
+def test_renames_equal_trying_all():
+    rnd = random.Random(5)
+    like = lambda p, q: round(SequenceMatcher(None, p, q, autojunk=False).ratio() * 10**9)
+    for _ in range(300):
+        letters = rnd.choice(["ab", "abcdef"])
+        n, m = rnd.randrange(1, 5), rnd.randrange(1, 5)
+        old, new = (sorted({"".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 6))) for _ in range(k)}) for k in (n, m))
+        near = {i: [j for j in range(len(new)) if rnd.random() < 0.6] for i in range(len(old))}
+        best = None
+        for to in permutations([*range(len(new)), *[len(new)] * len(old)], len(old)):
+            pairs = [(i, j) for i, j in enumerate(to) if j < len(new)]
+            if all(j in near[i] for i, j in pairs):
+                key = (-len(pairs), -sum(like(old[i], new[j]) for i, j in pairs), to)
+                best = key if best is None else min(best, key)
+        got = dict(most_pairs(list(near), near, dict(enumerate(old)), dict(enumerate(new))))
+        assert tuple(got.get(i, len(new)) for i in near) == best[2]
+
+
+def test_likeness_equals_difflib(monkeypatch):
+    rnd = random.Random(9)
+    for cells in (1 << 20, 50):
+        monkeypatch.setattr(jsonfields, "CELLS", cells)
+        monkeypatch.setattr(jsonfields, "PAIRS", 30)
+        text = lambda letters: "".join(rnd.choice(letters) for _ in range(rnd.randrange(0, 25)))
+        for letters in ("ab", "A\u00e9\u6f22\ud800\u0130", "abcdefghijklmnop"):
+            old, new = [text(letters) for _ in range(15)], [text(letters) for _ in range(20)]
+            near = [np.array(sorted(rnd.sample(range(20), rnd.randrange(21))), dtype=np.int32) for _ in old]
+            want = [[round(SequenceMatcher(None, p.lower(), new[j].lower(), autojunk=False).ratio() * 10**9) for j in js] for p, js in zip(old, near, strict=True)]
+            assert [x.tolist() for x in likeness(old, new, near)] == want
